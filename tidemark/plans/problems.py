@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.operators import spikes
+from tidemark.functions.times import epoch_us
+from tidemark.operators import instants, regular_grid, rolling_state, spikes
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +34,90 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_states(spark: SparkSession, d: str) -> DataFrame:
     return _spikes(spark, d)
+
+
+HEADLINES = ("financial_headlines_with_serial_no_2", "financial_headlines_with_serial_no")
+
+
+@query
+def p5_instants(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, HEADLINES[0]).unionByName(table(spark, d, HEADLINES[1]))
+    return instants.normalise_instants(both.select("serial_no", "date", "feed"), table(spark, d, "feeds")).select("serial_no", "date", "feed", "utc_us")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_instants(spark, d).filter("utc_us is not null").select("serial_no", "utc_us")
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    return rolling_state.rolling_state(table(spark, d, "sentiment"), keep=("sentiment_ma_5d", "buzz_ma_3d"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    x = _state(spark, d)
+    off = lambda stored, true: F.abs(F.col(stored) - F.col(true)) > 0.001
+    age = F.col("n") - F.col("lo") + 1
+    cases = F.array_compact(
+        F.array(
+            F.when(F.col("has_row") & (F.col("buzz_ma_3d").isNull() | off("buzz_ma_3d", "mean_articles_3")), F.lit("buzz_ma_3d")),
+            F.when(F.col("has_row") & (off("sentiment_ma_5d", "mean_score_5") | (F.col("sentiment_ma_5d").isNull() != F.col("mean_score_5").isNull())), F.lit("sentiment_ma_5d")),
+            F.when((age >= 7) & (F.col("articles_7") == 0), F.lit("quiet_7d")),
+            F.when((age >= 30) & (F.col("articles_30") >= 20) & (F.col("articles_7") * 2 > F.col("articles_30")), F.lit("surge_7d")),
+        )
+    )
+    return x.select(F.col("entity").alias("symbol"), F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), F.explode(cases).alias("metric"))
+
+
+@query
+def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
+    x = _state(spark, d)
+    r = [f"mean_score_{k}" for k in rolling_state.WINDOWS]
+    return x.select(F.col("entity").alias("symbol"), F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), *[f"articles_{k}" for k in rolling_state.WINDOWS], *r)
+
+
+def _grids(spark: SparkSession, d: str) -> DataFrame:
+    macro, sent = table(spark, d, "macro"), table(spark, d, "sentiment")
+    m = regular_grid.fill_grid(regular_grid.last_of_day(macro, "symbol", epoch_us(macro, "date"), "close", "reading_id"), "source", "on_day", "value", weekdays_only=True)
+    out = m.select(F.lit("macro.close").alias("field_name"), "*")
+    v = rolling_state.versions(sent, "symbol", "date", ["article_count", "sentiment_score"], "loaded_at").withColumn("day", F.date_from_unix_date("n"))
+    for f in ("sentiment_score", "article_count"):
+        g = regular_grid.fill_grid(v.withColumn("value", F.col(f"last.{f}").cast("double")), "entity", "day", "value")
+        out = out.unionByName(g.select(F.lit(f"sentiment.{f}").alias("field_name"), "*"))
+    return out.select("field_name", F.col("source").alias("symbol"), F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "value", "missing", F.date_format("filled_from", "yyyy-MM-dd").alias("filled_from"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _grids(spark, d).filter("missing").select("field_name", "symbol", "on_day")
+
+
+@query
+def p6_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grids(spark, d)
+
+
+_HELD = """held as (select symbol, date, max(struct_pack(l := loaded_at, a := article_count, s := case when isnan(sentiment_score) then null else sentiment_score end, m := sentiment_ma_5d, b := buzz_ma_3d)) as r
+from sentiment where date is not null group by 1, 2),
+span as (select symbol, min(date) as lo, max(date) as hi from held group by 1)"""
+_ROLL = f"""with {_HELD},
+spine as (select symbol, lo, unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 day))::date as date from span),
+x as (select s.symbol, s.lo, s.date, h.symbol is not null as has_row, coalesce(h.r.a, 0) as a, h.r.s as s, h.r.m as m, h.r.b as b
+from spine s left join held h on s.symbol = h.symbol and s.date = h.date),
+roll as (select *, {", ".join(f"sum(a) over w{k} as articles_{k}, sum(s::decimal(20,8)) over w{k}::double / nullif(count(s) over w{k}, 0) as mean_score_{k}" for k in (3, 5, 7, 30))} from x
+window {", ".join(f"w{k} as (partition by symbol order by date rows {k - 1} preceding)" for k in (3, 5, 7, 30))})"""
+SQL["p2_rolling"] = _ROLL + f" select symbol, strftime(date, '%Y-%m-%d') as on_day, {', '.join(f'articles_{k}::bigint as articles_{k}, mean_score_{k}' for k in (3, 5, 7, 30))} from roll"
+SQL["p2_found"] = _ROLL + """ select symbol, strftime(date, '%Y-%m-%d') as on_day, metric from (
+select symbol, date, 'buzz_ma_3d' as metric from roll where has_row and (b is null or abs(b - articles_3 / 3.0) > 0.001)
+union all select symbol, date, 'sentiment_ma_5d' from roll where has_row and (abs(m - mean_score_5) > 0.001 or (m is null) <> (mean_score_5 is null))
+union all select symbol, date, 'quiet_7d' from roll where date >= lo + 6 and articles_7 = 0
+union all select symbol, date, 'surge_7d' from roll where date >= lo + 29 and articles_30 >= 20 and articles_7 * 2 > articles_30)"""
+_SENT = "with " + _HELD
+SQL["p6_found"] = _SENT + """,
+m as (select symbol, date::date as date from macro where close is not null and not isnan(close) group by 1, 2),
+md as (select symbol, unnest(generate_series(min(date)::timestamp, max(date)::timestamp, interval 1 day))::date as date from m group by 1),
+sd as (select symbol, unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 day))::date as date from span)
+select 'macro.close' as field_name, symbol, strftime(date, '%Y-%m-%d') as on_day from md where isodow(date) < 6 and not exists (select 1 from m where m.symbol = md.symbol and m.date = md.date)
+union all select 'sentiment.sentiment_score', symbol, strftime(date, '%Y-%m-%d') from sd where not exists (select 1 from held h where h.symbol = sd.symbol and h.date = sd.date and h.r.s is not null)
+union all select 'sentiment.article_count', symbol, strftime(date, '%Y-%m-%d') from sd where not exists (select 1 from held h where h.symbol = sd.symbol and h.date = sd.date and h.r.a is not null)"""
