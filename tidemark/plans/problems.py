@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import epoch_us
-from tidemark.operators import instants, regular_grid, rolling_state, spikes
+from tidemark.operators import instants, regular_grid, rolling_state, schema_drift, spikes
+from tidemark.runtime import cut
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,23 @@ def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("entity").alias("symbol"), F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), *[f"articles_{k}" for k in rolling_state.WINDOWS], *r)
 
 
+def _files(spark: SparkSession, d: str):
+    lines = table(spark, d, "unused_data").unionByName(table(spark, d, "final_data"))
+    heads = cut(schema_drift.schemas(lines))  # a row a file
+    return heads, cut(schema_drift.cells(lines, heads))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.changes(*_files(spark, d)).select("index_symbol", "file_no", "field_name", "drift")
+
+
+@query
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    heads, c = _files(spark, d)
+    return schema_drift.one_table(c, cut(schema_drift.changes(heads, c)))
+
+
 def _grids(spark: SparkSession, d: str) -> DataFrame:
     macro, sent = table(spark, d, "macro"), table(spark, d, "sentiment")
     m = regular_grid.fill_grid(regular_grid.last_of_day(macro, "symbol", epoch_us(macro, "date"), "close", "reading_id"), "source", "on_day", "value", weekdays_only=True)
