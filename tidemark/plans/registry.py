@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import problems, reference
 
-MODULES = (problems,)
+MODULES = (problems, reference)
 
 
 def queries() -> dict:
