@@ -421,13 +421,13 @@ x as (select *, least(greatest((s - avg(s) over (partition by file)) / (stddev_s
 _FU_SQL = {"pe_ratio": "pe", "pb_ratio": "pb", "india_vix": "vix", "precomputed_sentiment": "precomputed_sentiment", "pe_change_1d": "pe - " + LAG("pe"), "pb_change_1d": "pb - " + LAG("pb"), "vix_change_1d": "vix - " + LAG("vix"), "vix_change_5d": "vix - " + LAG("vix", 5), "vix_ma_5": win("avg", "vix", 5, 1), "vix_ma_10": win("avg", "vix", 10, 1), "pe_ma_10": win("avg", "pe", 10, 1), "pb_ma_10": win("avg", "pb", 10, 1), "vix_percentile": "vp", "pe_percentile": "pp", "pb_percentile": "bp", "pe_regime": f"(pe > {win('avg', 'pe', 60, 20)})::int", "vix_regime": f"(vix > {win('avg', 'vix', 60, 20)})::int", "pe_vix_danger": "pp * vp", "vix_crisis": "(vix > 30)::int", "market_expensive": "(pe > 25)::int", "market_cheap": "(pe < 15)::int"}
 
 
-# the product of two ranks lies on halves of the sixth place, where engines may round either way
-@query(f"with {_FU} select symbol, {DAY}, {', '.join((s6(f'coalesce({e}, 0)', n) if n != 'pe_vix_danger' else f'round(coalesce({e}, 0), 9) + 0.0 as {n}') for n, e in _FU_SQL.items())} from x")
+# the product of two ranks lies on halves of the sixth place, where engines may round either way; it is exact as it is
+@query(f"with {_FU} select symbol, {DAY}, {', '.join((s6(f'coalesce({e}, 0)', n) if n != 'pe_vix_danger' else f'coalesce({e}, 0)::double as {n}') for n, e in _FU_SQL.items())} from x")
 def feat_fundamentals(spark, d):
     b = pipeline.views(spark, d)["bars"]
     f = b.select("symbol", "date", (5 + F.col("close") % 30).alias("pe"), (1 + F.col("open") % 5).alias("pb"), (8 + F.col("high") % 40).alias("vix"), (F.col("low") % 20 - 10).alias("sentiment_score"), (F.col("date") < F.lit("2021-01-01").cast("date")).alias("file"))
     x = features.fundamentals(f)
-    return x.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), *[r6(c) if c != "pe_vix_danger" else (F.round(c, 9) + F.lit(0.0)).alias(c) for c in features.FUNDAMENTAL])
+    return x.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), *[r6(c) if c != "pe_vix_danger" else F.col(c) for c in features.FUNDAMENTAL])
 
 
 _T5 = f"{BARS}, t as (select *, {LN(f'lead(close, 5) over ({P})', 'close')} as y, {LN('close', LAG('close'))} as r from bars)"
