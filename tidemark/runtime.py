@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +46,31 @@ def cut(df: DataFrame) -> DataFrame:
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if the table is counted to be small; beyond that Spark's shuffle joins stay."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context: their Python needn't find it on its own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    sc.addPyFile(archive)  # the driver serves it; executors keep their own copies
+    sc._tidemark_shipped = True
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run with the package at hand on every executor."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, directory)
+
+    return run
