@@ -95,10 +95,10 @@ def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None
     # (a date without a time is the start of its day, also where midnight was skipped)
     back = F.unix_micros(F.from_utc_timestamp("__there", F.col(zone))) if zone else F.lit(None).cast("long")
     e, k = F.col("__e").try_cast("long"), F.length("__e")
-    epoch = F.when(k == 10, e * 1_000_000).when(k == 13, e * 1000).when(k == 16, e).when(k == 19, F.floor(e / 1000).cast("long"))
+    epoch = F.when(k == 10, e * 1_000_000).when(k == 13, e * 1000).when(k == 16, e).when(k == 19, F.substring("__e", 1, 16).try_cast("long"))
     result = F.when(F.col("__e").isNotNull(), epoch).when(F.col("__off").isNotNull(), F.col("__local") - F.col("__offset")).when(utc_name, F.col("__local")).when((back == F.col("__local")) | F.col("__h").isNull(), F.unix_micros("__there"))
     # The generator is a barrier: a filter on the result pushed below would repeat the whole chain of expressions.
-    return x.select(*df.columns, F.explode(F.array(result)).alias(out))
+    return x.select(*[c for c in df.columns if c != out], F.explode(F.array(result)).alias(out))
 
 
 def normalise_instants(rows: DataFrame, sources: DataFrame, text: str = "date", source: str = "feed", zone: str = "tz_name", order: str = "day_order") -> DataFrame:

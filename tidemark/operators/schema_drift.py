@@ -29,6 +29,7 @@ SUFFIXES = {"k": 1e3, "m": 1e6, "b": 1e9, "bn": 1e9, "mn": 1e6, "lakh": 1e5, "cr
 PIECE = 20_000
 KINDS = ("integer", "decimal", "text")
 FILE = ["index_symbol", "file_no"]
+LINE = [*FILE, "received_at", "line_no", "raw_line"]
 
 
 def _split(line: Column, by: Column) -> Column:
@@ -53,7 +54,7 @@ def schemas(lines: DataFrame) -> DataFrame:
     """(index_symbol, file_no, header_no, delimiter, names, pieces): one row a file, from its header."""
     at = F.struct("line_no", "raw_line")
     data = F.when((F.trim(F.regexp_replace("raw_line", "[\t﻿]", " ")) != "") & ~F.col("raw_line").rlike("^[﻿\\s]*#"), at)
-    h = lines.filter("raw_line is not null and file_no is not null").groupBy(*FILE).agg(F.min(data).alias("h"), F.max("line_no").alias("last"), F.max("received_at").alias("received_at")).filter("h is not null")
+    h = lines.select(*LINE).filter("raw_line is not null and file_no is not null").groupBy(*FILE).agg(F.min(data).alias("h"), F.max("line_no").alias("last"), F.max("received_at").alias("received_at")).filter("h is not null")
     line = F.col("h.raw_line")
     outside = F.regexp_replace(line, '"[^"]*"', "")
     counts = F.array(*[F.struct((F.length(outside) - F.length(F.replace(outside, F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
@@ -67,7 +68,7 @@ def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
     salt spreads the days of a file over as many parts as the file has pieces.
     """
     h = heads.select(F.col("index_symbol").alias("_i"), F.col("file_no").alias("_f"), "header_no", "delimiter", "names", "pieces", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")).alias("_p"))
-    x = lines.filter("raw_line is not null and file_no is not null and trim(raw_line) != '' and not startswith(ltrim(raw_line), '#')")
+    x = lines.select(*LINE).filter("raw_line is not null and file_no is not null and trim(raw_line) != '' and not startswith(ltrim(raw_line), '#')")
     x = x.join(h, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")) & (F.floor(F.col("line_no") / PIECE) == F.col("_p"))).filter("line_no > header_no")
     x = x.withColumn("v", F.transform(_split(F.regexp_replace("raw_line", "[\r\n]+$", ""), F.col("delimiter")), _unquoted))
     day_at = F.array_position("names", F.lit("date"))
