@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems, reference
+from tidemark.plans import problems, reference, streams
 
-MODULES = (problems, reference)
+MODULES = (problems, reference, streams)
 
 
 def queries() -> dict:
