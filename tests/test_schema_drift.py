@@ -16,7 +16,7 @@ FILES = {
     ("A", 1): ["# note", "", None, "﻿Date; Open ;\"Volume\"", "2024-01-01;1.5;1,500,000", "2024-01-02;2.5;1,600,000", "2024-01-02;2.5;1,600,000", "2024-01-03;NA;1,700,000"],
     ("A", 2): ["date,Traded,open,extra", "2024-01-02,1.60M,2.5,7", "2024-01-03,1.70E+06,null,8", "2024-01-04,1.80M", "2024-01-05,1,2,3,4,5"],
     ("A", 3): ["Date|Traded|Open|Other", "2024-01-04|1800000|2|x", "# inside", "2024-01-06|(5)|\"3\"|y"],
-    ("B", 1): ["Date\tP", "2024-01-01\t1"],
+    ("B", 1): ["Date\tP", "2024-01-01\t1", "Date\tP"],
     ("B", 3): ["Date\tQ", "2024-01-01\t1"],
     ("C", 1): ["# nothing else"],
     (None, 1): ["Date,P", "2024-01-01,5"],

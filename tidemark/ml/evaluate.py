@@ -119,9 +119,3 @@ def random_baseline(preds: DataFrame, trials: int = 1000, seed: int = 42) -> Dat
 def comparison(m: DataFrame, model: str = "model", regime: str = "regime", names: Sequence[str] = (), value: str = "directional_accuracy") -> DataFrame:
     """Models by regimes, as formatted percentages."""
     return m.groupBy(model).pivot(regime, list(names) or None).agg(F.first(F.format_number(F.col(value) * 100, 2)))
-
-
-def retrain_due(age_months: float, limit: int = 6) -> bool:
-    return age_months > limit
-
-

@@ -7,7 +7,7 @@ text) that occur. Each cell keeps its own branch of the union besides one canoni
 the one before; a new and a gone name are the same field if they hold the same amounts on the days found in both.
 
 Defined cases: blank lines and lines that begin with # are no data; a file without any other line has no schema.
-Repeated lines and days count once (the first line). Missing values (empty, NA, null, -) have no alternative; a
+Repeated lines and days count once (the first line), a repeated header is no data. Missing values (empty, NA, null, -) have no alternative; a
 field of missing values only has no kind and is never retyped. Short lines lack their last fields, further values of
 long lines are dropped. A name that a header repeats counts once (the first). Null lines and null file numbers are
 left out. Amounts written to few digits (12.3M, 1.234E+07) equal all amounts that round to them. Empty tables give
@@ -51,7 +51,7 @@ def _clean_name(v: Column) -> Column:
 
 
 def schemas(lines: DataFrame) -> DataFrame:
-    """(index_symbol, file_no, header_no, delimiter, names, pieces): one row a file, from its header."""
+    """(index_symbol, file_no, received_at, header_no, header, delimiter, names, pieces): one row a file."""
     at = F.struct("line_no", "raw_line")
     data = F.when((F.trim(F.regexp_replace("raw_line", "[\t﻿]", " ")) != "") & ~F.col("raw_line").rlike("^[﻿\\s]*#"), at)
     h = lines.select(*LINE).filter("raw_line is not null and file_no is not null").groupBy(*FILE).agg(F.min(data).alias("h"), F.max("line_no").alias("last"), F.max("received_at").alias("received_at")).filter("h is not null")
@@ -59,7 +59,7 @@ def schemas(lines: DataFrame) -> DataFrame:
     outside = F.regexp_replace(line, '"[^"]*"', "")
     counts = F.array(*[F.struct((F.length(outside) - F.length(F.replace(outside, F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
     by = F.array_max(counts)["d"]
-    return h.select(*FILE, "received_at", F.col("h.line_no").alias("header_no"), by.alias("delimiter"), F.transform(_split(line, by), _clean_name).alias("names"), F.floor(F.col("last") / PIECE).alias("pieces"))
+    return h.select(*FILE, "received_at", F.col("h.line_no").alias("header_no"), line.alias("header"), by.alias("delimiter"), F.transform(_split(line, by), _clean_name).alias("names"), F.floor(F.col("last") / PIECE).alias("pieces"))
 
 
 def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
@@ -67,9 +67,9 @@ def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
 
     salt spreads the days of a file over as many parts as the file has pieces.
     """
-    h = heads.select(F.col("index_symbol").alias("_i"), F.col("file_no").alias("_f"), "header_no", "delimiter", "names", "pieces", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")).alias("_p"))
+    h = heads.select(F.col("index_symbol").alias("_i"), F.col("file_no").alias("_f"), "header_no", "header", "delimiter", "names", "pieces", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")).alias("_p"))
     x = lines.select(*LINE).filter("raw_line is not null and file_no is not null and trim(raw_line) != '' and not startswith(ltrim(raw_line), '#')")
-    x = x.join(h, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")) & (F.floor(F.col("line_no") / PIECE) == F.col("_p"))).filter("line_no > header_no")
+    x = x.join(h, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")) & (F.floor(F.col("line_no") / PIECE) == F.col("_p"))).filter("line_no > header_no and raw_line != header")
     x = x.withColumn("v", F.transform(_split(F.regexp_replace("raw_line", "[\r\n]+$", ""), F.col("delimiter")), _unquoted))
     day_at = F.array_position("names", F.lit("date"))
     x = x.withColumn("on_day", F.when(day_at > 0, F.get("v", (day_at - 1).cast("int")))).filter("on_day is not null and on_day != ''")
