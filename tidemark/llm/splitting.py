@@ -207,12 +207,12 @@ def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, slack: in
     r, t = placed_tables(docs, limit, doc_id, text, folder, size)
     kind = t.schema["doc_id"].dataType.simpleString()
     stride = limit - slack - overlap
-    halo = 1 + (slack + overlap) // STEP * 4
+    halo = slack + overlap + 1  # boundaries lie a token apart at least
     w = Window.partitionBy("doc_id").orderBy("range_no")
     t = cut(t.filter(F.col("total") > limit))
     place = F.transform(F.col("tok"), lambda k: k + F.col("base"))
     x = t.select("doc_id", "range_no", "pos", place.alias("at"), "lev", "total")
-    keep = lambda c: F.slice(c, F.greatest(F.size(c) - F.lit(64 * halo), F.lit(0)) + 1, F.lit(64 * halo))
+    keep = lambda c: F.slice(c, F.greatest(F.size(c) - F.lit(halo), F.lit(0)) + 1, F.lit(halo))
     prev = F.struct(keep("pos").alias("pos"), keep("at").alias("at"), keep("lev").alias("lev"))
     x = x.withColumn("prev", F.last(F.when(F.size("pos") > 0, prev), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.select("doc_id", "total", *[F.concat(F.coalesce(f"prev.{c}", F.array().cast(f"array<{k}>")), F.col(c).cast(f"array<{k}>")).alias(c) for c, k in (("pos", "int"), ("at", "long"), ("lev", "int"))], F.coalesce(F.element_at("prev.at", -1), F.lit(0).cast("long")).alias("lo")).filter("size(at) > 0")
