@@ -139,3 +139,67 @@ sd as (select symbol, unnest(generate_series(lo::timestamp, hi::timestamp, inter
 select 'macro.close' as field_name, symbol, strftime(date, '%Y-%m-%d') as on_day from md where isodow(date) < 6 and not exists (select 1 from m where m.symbol = md.symbol and m.date = md.date)
 union all select 'sentiment.sentiment_score', symbol, strftime(date, '%Y-%m-%d') from sd where not exists (select 1 from held h where h.symbol = sd.symbol and h.date = sd.date and h.r.s is not null)
 union all select 'sentiment.article_count', symbol, strftime(date, '%Y-%m-%d') from sd where not exists (select 1 from held h where h.symbol = sd.symbol and h.date = sd.date and h.r.a is not null)"""
+
+SQL["p1_found"] = """with r as (select 'prices' as table_name, bar_id as row_id, 'close' as field_name, symbol, date, close as v from prices where close is not null and not isnan(close) and date is not null
+union all select 'prices', bar_id, 'volume', symbol, date, volume from prices where volume is not null and not isnan(volume) and date is not null
+union all select 'macro', reading_id, 'close', symbol, date, close from macro where close is not null and not isnan(close) and date is not null),
+p as (select table_name, field_name, symbol, date, arg_min(v, row_id) as v from r group by all),
+q as (select *, isinf(v) or (case when field_name = 'volume' then v < 0 or (v = 0 and avg((v = 0)::int) over s <= 0.1) else v <= 0 and avg((v <= 0)::int) over s <= 0.1 end) as bad,
+lag(v) over (s order by date) is not distinct from v as again from p window s as (partition by table_name, field_name, symbol)),
+g as (select *, sum((not again)::int) over (partition by table_name, field_name, symbol order by date rows unbounded preceding) as run from q),
+c as (select *, count(*) over (partition by table_name, field_name, symbol, run) >= 6 and again and not (field_name = 'volume' and v = 0) as stuck from g),
+u as (select *, case when field_name <> 'volume' then v when v > 0 then ln(v) end as y from q where not bad and not (field_name = 'volume' and v <= 0)),
+w as (select *, abs(y - lag(y) over o) as step, list(y) over (o rows between 5 preceding and 1 preceding) as b, list(y) over (o rows between 1 following and 5 following) as a from u window o as (partition by table_name, field_name, symbol order by date)),
+m as (select table_name, field_name, symbol, median(step) as unit from w group by all),
+f as (select table_name, field_name, symbol, date from c where bad or stuck
+union select w.table_name, w.field_name, w.symbol, date from w join m on w.table_name = m.table_name and w.field_name = m.field_name and w.symbol is not distinct from m.symbol where least(abs(y - list_aggregate(b, 'median')), abs(y - list_aggregate(a, 'median'))) > 12 * unit and len(b) > 0 and len(a) > 0)
+select r.table_name, r.row_id, r.field_name from r join f on r.table_name = f.table_name and r.field_name = f.field_name and r.symbol is not distinct from f.symbol and r.date = f.date"""
+_MONTHS = str(list(instants.MONTHS))
+SQL["p5_found"] = r"""with h as (select serial_no, regexp_replace(regexp_replace(date, '^\s+|\s+$', '', 'g'), '(\.\d{6})\d+', '\1') as t, lower(trim(feed)) as feed from (select serial_no, date, feed from financial_headlines_with_serial_no_2 union all select serial_no, date, feed from financial_headlines_with_serial_no)),
+z as (select serial_no, t, tz_name, day_order, nullif(regexp_extract(t, '[0-9] ?([A-Z]{2,5}|Z)$', 1), '') as za, nullif(regexp_extract(t, ':\d\d(?::\d\d(?:\.\d+)?)? ?([+-]\d\d:?\d\d)$', 1), '') as off from h left join (select lower(trim(feed)) as f, tz_name, day_order from feeds) on feed = f),
+b as (select *, case when za is not null and za not in ('AM', 'PM') then upper(za) end as zone, case when za is not null and za not in ('AM', 'PM') then regexp_replace(t, ' ?[A-Z]+$', '') when off is not null then regexp_replace(t, ' ?[+-]\d\d:?\d\d$', '') else t end as s from z),
+d as (select *, regexp_extract(s, '^(\d{4})[-/](\d\d)[-/](\d\d)(?:[T ]|$)', ['y', 'm', 'd']) as q1, regexp_extract(s, '^(\d{4})(\d\d)(\d\d)(?:[T ]|$)', ['y', 'm', 'd']) as q2, regexp_extract(s, '^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d\d)(?: |$)', ['a', 'b', 'y']) as q3,
+regexp_extract(s, '^(?:[A-Z][a-z]{2}, )?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4})(?: |$)', ['d', 'm', 'y']) as q4, regexp_extract(s, '^([A-Z][a-z]+) (\d{1,2}), (\d{4})(?: |$)', ['m', 'd', 'y']) as q5, regexp_extract(s, '[T ](\d{1,2}):(\d\d)(?::(\d\d)(?:\.(\d+))?)? ?([aApP]?)[mM]?$', ['h', 'mi', 's', 'f', 'ap']) as t1, regexp_extract(s, '^\d{8}[T ](\d\d)(\d\d)(\d\d)?$', ['h', 'mi', 's']) as t2 from b),
+c as (select *, case when q1.y <> '' then [q1.y, q1.m, q1.d] when q2.y <> '' then [q2.y, q2.m, q2.d] when q3.y <> '' and day_order is not null then [case when length(q3.y) = 2 then '20' else '' end || q3.y, case when day_order = 'dmy' then q3.b else q3.a end, case when day_order = 'dmy' then q3.a else q3.b end]
+when q4.y <> '' then [q4.y, list_position(@, lower(q4.m))::varchar, q4.d] when q5.y <> '' then [q5.y, list_position(@, lower(q5.m[1:3]))::varchar, q5.d] end as ymd from d),
+l as (select *, try_cast(ymd[1] || '-' || lpad(ymd[2], 2, '0') || '-' || lpad(ymd[3], 2, '0') || ' ' || case when t1.h <> '' then lpad(case when t1.ap = '' then t1.h else (try_cast(t1.h as int) % 12 + case when lower(t1.ap) = 'p' then 12 else 0 end)::varchar end, 2, '0') || ':' || t1.mi || ':' || case when t1.s = '' then '00' else t1.s end || case when t1.f = '' then '' else '.' || t1.f end
+when t2.h <> '' then t2.h || ':' || t2.mi || ':' || case when t2.s = '' then '00' else t2.s end else '00:00:00' end as timestamp) as local from c),
+i as (select *, case when zone in ('UTC', 'GMT', 'Z') then 'UTC' else tz_name end as tz from l),
+k as (select *, case when local is not null and tz is not null then timezone(tz, local) end as u from i),
+e as (select *, case when timezone(tz, u - interval 1 hour) = local then u - interval 1 hour else u end as u0 from k)
+select serial_no, case when off is not null then epoch_us(local) - (case when off[1] = '-' then -1 else 1 end) * (try_cast(off[2:3] as bigint) * 60 + try_cast(right(off, 2) as bigint)) * 60000000 when local is not null then epoch_us(u0) else try_cast(t as bigint) * (case length(t) when 10 then 1000000 when 13 then 1000 else 1 end) end::bigint as utc_us
+from e where case when off is not null then local is not null when local is not null then timezone(tz, u0) = local else regexp_matches(t, '^\d+$') and length(t) in (10, 13, 16) end""".replace("@", _MONTHS)
+
+
+def _split_sql(x: str, d: str) -> str:
+    cases = (("','", ",", ","), ("';'", ";", ";"), ("'|'", "|", "[|]"), ("chr(9)", "\\t", "\\t"))
+    return "case " + " ".join(f"when {d} = {lit} then regexp_extract_all({x} || {lit}, '(\"[^\"]*\"|[^{c}]*){e}', 1)" for lit, c, e in cases) + " end"
+
+
+def _count_sql(d: str) -> str:
+    return f"length(bare) - length(replace(bare, {d}, ''))"
+
+
+SQL["p4_found"] = f"""with lines as (select index_symbol as i, file_no::bigint as f, line_no as n, raw_line as l from (select * from unused_data union all select * from final_data) where raw_line is not null and file_no is not null and trim(raw_line, E' \\t') <> '' and not starts_with(ltrim(raw_line, E' \\t'), '#')),
+h0 as (select i, f, arg_min(l, n) as hl, min(n) as hn, regexp_replace(arg_min(l, n), '"[^"]*"', '', 'g') as bare from lines group by 1, 2),
+h1 as (select *, [{_count_sql("','")}, {_count_sql("';'")}, {_count_sql("'|'")}, {_count_sql("chr(9)")}] as cs from h0),
+h2 as (select *, [',', ';', '|', chr(9)][list_position(cs, list_max(cs))] as d from h1),
+h as (select i, f, hl, hn, d, list_transform({_split_sql('hl', 'd')}, lambda v: lower(trim(trim(trim(replace(v, chr(65279), '')), '"')))) as names from h2),
+r as (select h.i, h.f, n, names, list_transform({_split_sql('l', 'd')}, lambda v: trim(trim(trim(v), '"'))) as v from lines join h on lines.i is not distinct from h.i and lines.f = h.f where n > hn and l <> hl),
+c0 as (select i, f, n, v[list_position(names, 'date')] as day, names[k] as name, v[k] as val from r, unnest(range(1, len(names) + 1)) t(k)),
+c1 as (select i, f, day, name, case when val not in ('', 'NA', 'null', '-') then val end as val from c0 where name not in ('date', '') and day <> '' qualify row_number() over (partition by i, f, day, name order by n) = 1),
+c2 as (select *, regexp_extract(regexp_replace(regexp_replace(lower(val), '^[(+-]|^rs ', '', 'g'), '[),%x]', '', 'g'), '^([0-9]*\\.?[0-9]*)(?:e\\+?([0-9]+))?(m?)$', ['d', 'e', 'm']) as p from c1),
+c as (select *, case when p.d <> '' then (case when val[1] in ('(', '-') then -1 else 1 end) * try_cast(p.d as double) * s end as amt, case when s = 1 then 0 else 0.5001 * s * pow(10, -length(regexp_extract(p.d, '\\.([0-9]*)$', 1))) end as slack
+from (select *, case when p.e <> '' then pow(10, try_cast(p.e as int)) when p.m <> '' then 1e6 else 1 end as s from c2)),
+k as (select i, f, name, case when bool_or(not regexp_matches(val, '^-?[0-9]+[.]?[0-9]*$')) then 'text' when bool_or(not regexp_matches(val, '^-?[0-9]+$')) then 'decimal' when count(val) > 0 then 'integer' end as kind from c group by 1, 2, 3),
+nm as (select h.i, h.f, name, kind from (select i, f, unnest(list_distinct(names)) as name from h) h left join k using (i, f, name) where name not in ('date', '')),
+file as (select distinct i, f from h), had as (select a.i, a.f from file a join file b on a.i = b.i and a.f = b.f + 1),
+fresh as (select nm.* from nm join had using (i, f) where not exists (select 1 from nm o where o.i = nm.i and o.f = nm.f - 1 and o.name = nm.name)),
+gone as (select nm.i, nm.f + 1 as f, nm.name, nm.kind from nm where exists (select 1 from had where had.i = nm.i and had.f = nm.f + 1) and not exists (select 1 from nm o where o.i = nm.i and o.f = nm.f + 1 and o.name = nm.name)),
+pair as (select a.i, a.f, a.name, b.name as old, count(a.val) as days from c a join fresh on fresh.i = a.i and fresh.f = a.f and fresh.name = a.name join c b on b.i = a.i and b.f = a.f - 1 and b.day = a.day join gone on gone.i = b.i and gone.f = a.f and gone.name = b.name
+group by 1, 2, 3, 4 having bool_and(case when a.val is null or b.val is null then a.val is null and b.val is null when a.amt is null or b.amt is null then a.val = b.val else abs(a.amt - b.amt) <= a.slack + b.slack + 1e-9 * abs(a.amt) end) and count(a.val) > 0),
+ren as (select * from pair qualify row_number() over (partition by i, f, name order by days desc, old) = 1 and row_number() over (partition by i, f, old order by days desc, name) = 1)
+select i as index_symbol, f as file_no, name as field_name, 'renamed' as drift from ren
+union all select i, f, name, 'added' from fresh where not exists (select 1 from ren where ren.i = fresh.i and ren.f = fresh.f and ren.name = fresh.name)
+union all select i, f, name, 'removed' from gone where not exists (select 1 from ren where ren.i = gone.i and ren.f = gone.f and ren.old = gone.name)
+union all select a.i, a.f, a.name, 'retyped' from nm a left join ren on ren.i = a.i and ren.f = a.f and ren.name = a.name join nm b on b.i = a.i and b.f = a.f - 1 and b.name = coalesce(ren.old, a.name) where a.kind <> b.kind"""
