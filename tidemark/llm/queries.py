@@ -59,3 +59,7 @@ x as (select report_id, bar_id, epoch_us(t) - epoch_us(e.date) as gap_us, row_nu
 from earnings e join b on upper(trim(e.symbol)) = b.s and b.t between e.date - interval 36 hour and e.date + interval 36 hour)"""
 SQL["p3_found"] = _NEAREST + " select report_id, bar_id from x where r = 1"
 SQL["p3_gaps"] = _NEAREST + " select report_id, bar_id, gap_us from x where r = 1"
+SQL["p8_found"] = r"""with x as (select 0 as kind, doc_id as id, text from documents union all select 1, item_id, text from eval_items),
+n as (select kind, id, regexp_extract_all(lower(regexp_replace(replace(replace(replace(replace(regexp_replace(text, '<[^<>\n]*>|\[[^\[\]\n]*\]', ' ', 'g'), '&nbsp;', ' '), '&#39;', ''''), '&#101;', 'e'), '&amp;', '&'), '[\x{ad}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}]', '', 'g')), '[\p{L}\p{N}]+') as w from x where text is not null),
+g as (select distinct kind, id, array_to_string(w[k:k + 11], ' ') as run from n, unnest(range(1, len(w) - 10)) t(k) where len(w) >= 12)
+select distinct d.id as doc_id, i.id as item_id from g d join g i on d.run = i.run where d.kind = 0 and i.kind = 1"""
