@@ -185,6 +185,8 @@ def test_ensemble_and_direction(spark, tmp_path):
     acc = evaluate.metrics(p.select("symbol", "date", F.col("predicted_return").alias("y_pred"), F.col("actual_return").alias("y_true"))).first().directional_accuracy
     assert acc > 0.8 and models.importance(e.a, ["f1", "f2"])[0][0] == "f1"
     e.save(str(tmp_path / "m"))
+    again = models.Ensemble.load(spark, str(tmp_path / "m")).predict(df)
+    assert again.join(p, ["symbol", "date"]).filter(F.abs(again.predicted_return - p.predicted_return) > 1e-12).count() == 0
     m = models.fit_direction(df, ["f1", "f2"], "y")
     assert models.predict_direction(m, df, ["f1", "f2"]).filter("(p_up >= 0.5) = (y >= 0)").count() > 250
     rec = models.prediction_record(p.withColumns({"close": F.lit(100.0), "f1": F.lit(1.0), "volatility_10d": F.lit(None).cast("double"), "volatility_20d": F.lit(0.3), "volatility_30d": F.lit(0.3)}), ["f1"]).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,8 +10,8 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
@@ -195,6 +196,17 @@ class Ensemble:
         self.b.write().overwrite().save(f"{path}/trees_b")
         self.ar.write.mode("overwrite").parquet(f"{path}/ar")
         self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+        about = {"features": self.features, "target": self.target, "weights": self.weights, "intercept": self.intercept}
+        self.ar.sparkSession.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Ensemble:
+        about = json.loads(spark.read.parquet(f"{path}/about").first().about)
+        e = cls(about["features"], about["target"])
+        e.a, e.b = (GBTRegressionModel.load(f"{path}/trees_{k}") for k in "ab")
+        e.ar, e.scaler = spark.read.parquet(f"{path}/ar"), spark.read.parquet(f"{path}/scaler")
+        e.weights, e.intercept = about["weights"], about["intercept"]
+        return e
 
 
 def tune(matrix: DataFrame, features: Sequence[str], target: str, grid: Sequence[dict]) -> list[tuple[dict, float]]:
