@@ -48,3 +48,12 @@ def test_a_family_of_windows_shares_one_shuffle(spark):
     b = b.withColumn("v", w.roll_std("r", 20)).withColumn("vv", w.roll_std("v", 20))
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") + plan.count("Window(") >= 3
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p5_found", "p6_found", "src_bars", "jn_asof"])
+def test_the_session_zone_does_not_matter(spark, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert compare(spark, DIR, QUERIES[name], SQL[name]) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
