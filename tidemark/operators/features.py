@@ -47,17 +47,25 @@ def technical(bars: DataFrame, horizon: int = 5, market: DataFrame | None = None
 TECHNICAL = ["log_return_1d", "momentum_5d", "momentum_10d", "momentum_20d", "volatility_10d", "volatility_20d", "volatility_30d", "rsi_14", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_mid", "bb_width", "bb_pct", "atr_14"]
 
 
+def macro_series(series: DataFrame) -> DataFrame:
+    """(symbol, date, close and the macro windows of each series on its own calendar), for any number of symbols."""
+    x = series.withColumns({"return_1d": w.log_return("close"), "change_1d": w.diff("close"), "change_5d": w.diff("close", 5), "ma_5": w.roll_mean("close", 5), "ma_10": w.roll_mean("close", 10)})
+    return x.withColumns({"return_ma_5": w.roll_mean("return_1d", 5), "return_ma_10": w.roll_mean("return_1d", 10)})
+
+
+MACRO_SERIES = ["close", "change_1d", "change_5d", "ma_5", "ma_10", "return_1d", "return_ma_5", "return_ma_10"]
+
+
 def macro(series: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     """(date, features) from (symbol, date, close), where symbol is a role.
 
     Windows run on each series' own calendar, all in one pass; the outer alignment is one conditional aggregation.
     The yield spread alone is taken after the alignment.
     """
-    x = series.withColumns({"_r": w.log_return("close"), "_d1": w.diff("close"), "_d5": w.diff("close", 5), "_m5": w.roll_mean("close", 5), "_m10": w.roll_mean("close", 10)})
-    x = x.withColumns({"_r5": w.roll_mean("_r", 5), "_r10": w.roll_mean("_r", 10)})
-    want = [("vix", "close", "vix_level"), ("vix", "_d1", "vix_change_1d"), ("vix", "_d5", "vix_change_5d"), ("vix", "_m5", "vix_ma_5"), ("vix", "_m10", "vix_ma_10"), ("tnx", "close", "yield_10y"), ("irx", "close", "yield_3m")]
-    want += [(r, "_r", f"{r}_return_1d") for r in ("dxy", "gold", "oil", "sp500")] + [("sp500", "_r5", "sp500_ma_5"), ("sp500", "_r10", "sp500_ma_10")]
-    want += [(r, c, f"{r}_{n}") for r in roles if r.startswith("fund") for c, n in (("_r", "return_1d"), ("_r5", "ma_5"))]
+    x = macro_series(series)
+    want = [("vix", "close", "vix_level"), ("vix", "change_1d", "vix_change_1d"), ("vix", "change_5d", "vix_change_5d"), ("vix", "ma_5", "vix_ma_5"), ("vix", "ma_10", "vix_ma_10"), ("tnx", "close", "yield_10y"), ("irx", "close", "yield_3m")]
+    want += [(r, "return_1d", f"{r}_return_1d") for r in ("dxy", "gold", "oil", "sp500")] + [("sp500", "return_ma_5", "sp500_ma_5"), ("sp500", "return_ma_10", "sp500_ma_10")]
+    want += [(r, c, f"{r}_{n}") for r in roles if r.startswith("fund") for c, n in (("return_1d", "return_1d"), ("return_ma_5", "ma_5"))]
     y = x.groupBy("date").agg(*[F.max(F.when(F.col("symbol") == r, F.col(c))).alias(n) for r, c, n in want])
     y = y.withColumn("yield_spread", F.col("yield_10y") - F.col("yield_3m"))
     # one short series: a row per calendar day

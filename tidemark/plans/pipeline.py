@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,10 @@ from tidemark.runtime import maybe_broadcast
 from tidemark.sources.tables import table
 
 
+#: Configuration: the series of the tables that plays each part of the wide matrix. The tables' symbols are invented.
+ROLE_SYMBOLS = {"vix": "^SOBA0", "tnx": "^CILU2", "irx": "^ZUVA2", "dxy": "HEQE4-Y.QB", "gold": "VARO0=F", "oil": "FUZI3=F", "sp500": "^BITA5", "fund1": "XIGI1-Y.QB", "fund2": "BOJA0-Y.QB", "fund3": "CAHA3-Y.QB", "fund4": "GAKO1-Y.QB", "fund5": "JONE7-Y.QB"}
+
+
 @dataclass(frozen=True)
 class Config:
     target: str = "excess_return_5d"
@@ -23,31 +28,38 @@ class Config:
     publication_lag_days: int = 0
     market: str = "us"
     leakage: tuple[str, ...] = ("log_return_5d",)
-    roles: tuple[str, ...] = field(default=features.ROLES)
+    roles: Mapping[str, str] = field(default_factory=lambda: dict(ROLE_SYMBOLS))
+
 
+def with_roles(macro: DataFrame, roles: Mapping[str, str] | Sequence[str] = features.ROLES) -> DataFrame:
+    """The macro series that play a part, named by it; `roles` maps parts to symbols, whatever other symbols there are.
 
-def with_roles(macro: DataFrame, roles=features.ROLES) -> DataFrame:
-    """The first macro series in order of their symbols, named by the part they play (a dozen rows, broadcast)."""
+    A bare sequence of parts gives them to the first symbols in order, as the SQL beside the queries does: then a new
+    symbol moves the parts. All symbols are in `views()["series"]`.
+    """
+    if isinstance(roles, Mapping):
+        plays = F.create_map(*[F.lit(v) for role, symbol in roles.items() for v in (symbol, role)])
+        return macro.filter(F.col("symbol").isin(*roles.values())).select(F.try_element_at(plays, F.col("symbol")).alias("symbol"), "date", "close")
     first = macro.select("symbol").distinct().orderBy("symbol").limit(len(roles)).withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("symbol")))
     named = first.withColumn("_role", F.element_at(F.array(*map(F.lit, roles)), F.col("_n").cast("int")))
     return macro.join(F.broadcast(named), "symbol").select(F.col("_role").alias("symbol"), "date", "close")
 
 
-def views(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def views(spark: SparkSession, d: str, roles: Mapping[str, str] | Sequence[str] = features.ROLES) -> dict[str, DataFrame]:
     bars = panel.bars(table(spark, d, "prices"))
-    macro = panel.daily_last(table(spark, d, "macro"))
+    series = panel.daily_last(table(spark, d, "macro"))
     s = table(spark, d, "sentiment")
     held = s.groupBy("symbol", "date").agg(F.max(F.struct("loaded_at", "article_count", F.nanvl("sentiment_score", F.lit(None)).alias("score"))).alias("r"))
     news = held.select("symbol", "date", F.coalesce("r.score", F.lit(0.0)).alias("avg_sentiment"), F.coalesce("r.article_count", F.lit(0)).alias("article_count"))
     e = table(spark, d, "earnings")
     pct = F.nanvl("surprise_pct", F.lit(None))
     events = e.filter(F.col("date").isNotNull() & pct.isNotNull()).groupBy(F.upper(F.trim("symbol")).alias("symbol"), F.col("date").cast("date").alias("date")).agg(F.min(F.struct("report_id", pct.alias("p"))).alias("r")).select("symbol", "date", F.col("r.p").alias("surprise_pct"))
-    return {"bars": bars, "macro": with_roles(macro), "news": news, "events": events, "market": panel.market(bars)}
+    return {"bars": bars, "series": series, "macro": with_roles(series, roles), "news": news, "events": events, "market": panel.market(bars)}
 
 
 def matrix(spark: SparkSession, d: str, cfg: Config = Config(), live: bool = False) -> DataFrame:
     """(symbol, date, all features, targets). Live keeps the days whose target lies in the future."""
-    v = views(spark, d)
+    v = views(spark, d, cfg.roles)
     calendar = v["bars"].select("symbol", "date")
     tech = features.technical(v["bars"], cfg.horizon, v["market"])
     if not live:

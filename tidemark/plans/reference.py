@@ -93,6 +93,14 @@ def src_macro(spark, d):
     return out(pipeline.views(spark, d)["macro"], "close")
 
 
+_SERIES = MACRO.split(",\nmac as")[0]
+
+
+@query(f"with {_SERIES} select symbol, {DAY}, {s6('close', 'close')} from mall")
+def src_macro_series(spark, d):
+    return out(pipeline.views(spark, d)["series"], "close")
+
+
 HEAD = r"""head as (select case when regexp_matches(date, '^\d{1,2}-\d{1,2}-\d{4}$') then try_strptime(date, '%d-%m-%Y') when regexp_matches(date, '^\d{1,2}-\d{1,2}-\d{2}$') then try_strptime(date, '%d-%m-%y') end::date as date, headline
 from (select date, headline from financial_headlines_with_serial_no_2 union all select date, headline from financial_headlines_with_serial_no))"""
 
@@ -366,6 +374,15 @@ def feat_macro(spark, d):
     return out(features.macro(pipeline.views(spark, d)["macro"]), *features.MACRO, keys=("date",))
 
 
+# means of ten prices lie on halves of the seventh place, so they are given to eight
+@query(
+    f"with {_SERIES}, r as (select *, {LN('close', LAG('close'))} as return_1d from mall) select symbol, {DAY}, {s6('close', 'close')}, {s6('close - ' + LAG('close'), 'change_1d')}, {s6('close - ' + LAG('close', 5), 'change_5d')}, round({win('avg', 'close', 5)}, 8) + 0.0 as ma_5, round({win('avg', 'close', 10)}, 8) + 0.0 as ma_10, {s6('return_1d', 'return_1d')}, {s6(win('avg', 'return_1d', 5), 'return_ma_5')}, {s6(win('avg', 'return_1d', 10), 'return_ma_10')} from r"
+)
+def feat_macro_series(spark, d):
+    x = features.macro_series(pipeline.views(spark, d)["series"])
+    return x.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), *[r6(c) if not c.startswith("ma_") else (F.round(c, 8) + F.lit(0.0)).alias(c) for c in features.MACRO_SERIES])
+
+
 @query(
     f"with {NEWS}, x as (select symbol, date, avg_sentiment as sentiment_score, {', '.join(win('avg', 'avg_sentiment', k, 1) + f' as sentiment_ma_{k}d' for k in (3, 5, 10))}, {', '.join(win('avg', 'article_count', k, 1) + f' as buzz_ma_{k}d' for k in (3, 5))}, coalesce({win('stddev_samp', 'avg_sentiment', 5, 1)}, 0) as sentiment_std_5d from news) select symbol, {DAY}, {', '.join(s6(c, c) for c in features.SENTIMENT if c != 'sentiment_momentum')}, {s6('sentiment_ma_3d - sentiment_ma_10d', 'sentiment_momentum')} from x"
 )
