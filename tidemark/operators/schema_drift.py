@@ -166,10 +166,12 @@ def canonical_names(found: DataFrame) -> DataFrame:
 
 
 def one_table(c: DataFrame, found: DataFrame) -> DataFrame:
-    """(index_symbol, on_day, file_no, fields): one row per index and day, from the latest file that holds the day.
+    """(index_symbol, on_day, file_no, fields): one row per index and day; file_no: the latest file that holds the day.
 
     fields maps each canonical name to its union: the branch as_integer, as_decimal or as_text holds the value in
-    its own type, amount the canonical number.
+    its own type, amount the canonical number. A field comes from the latest file that has a value for it on the day
+    (from_file), so what a newer file lacks or holds as missing stays as the older one has it. A field missing in all
+    files of the day has no branch. Two names of one file that are one canonical field stay apart, under their names.
     """
     names = canonical_names(found)
     v, k = F.col("value"), kind_of(F.col("value"))
@@ -180,7 +182,13 @@ def one_table(c: DataFrame, found: DataFrame) -> DataFrame:
         F.when(k == "text", v).alias("as_text"),
         amount_of(v)["amount"].alias("amount"),
     )
-    x = c.join(names, "name", "left").withColumn("field", F.coalesce("canonical", "name"))
-    rows = x.groupBy("index_symbol", "on_day", "file_no").agg(F.sort_array(F.collect_list(F.struct("field", branch.alias("union")))).alias("f"))  # a row's fields: bounded by the header
-    last = rows.groupBy("index_symbol", "on_day").agg(F.max(F.struct("file_no", "f")).alias("r"))
-    return last.select("index_symbol", "on_day", F.col("r.file_no").cast("long").alias("file_no"), F.map_from_entries(F.col("r.f")).alias("fields"))
+    x = c.join(names, "name", "left").withColumn("canonical", F.coalesce("canonical", "name")).withColumn("has", v.isNotNull())
+    # per index, day and field the names in use, each with its latest value: one name, but for renames on the day
+    keys = ["index_symbol", "on_day"]
+    named = x.groupBy(*keys, "canonical", "name").agg(F.max(F.struct("has", F.col("file_no").alias("from_file"), branch.alias("union"))).alias("r"), F.collect_set("file_no").alias("files"), F.max("file_no").alias("file_no"))
+    one = named.groupBy(*keys, "canonical").agg(F.max("r").alias("r"), F.collect_list(F.struct("name", "r")).alias("each"), F.flatten(F.collect_list("files")).alias("files"), F.max("file_no").alias("file_no"))
+    apart = F.size("files") > F.size(F.array_distinct("files"))
+    cell = lambda name, r: F.struct(name.alias("field"), F.struct(r["from_file"].cast("long").alias("from_file"), r["union"]["written_as"].alias("written_as"), *[r["union"][b].alias(b) for b in ("as_integer", "as_decimal", "as_text", "amount")]).alias("union"))
+    cells_ = F.when(apart, F.transform("each", lambda e: cell(e["name"], e["r"]))).otherwise(F.array(cell(F.col("canonical"), F.col("r"))))
+    rows = one.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list(cells_))).alias("f"), F.max("file_no").alias("file_no"))  # a row's fields: bounded by the headers of the day's files
+    return rows.select(*keys, F.col("file_no").cast("long").alias("file_no"), F.map_from_entries("f").alias("fields"))
