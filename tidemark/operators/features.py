@@ -180,6 +180,21 @@ def fundamentals(rows: DataFrame) -> DataFrame:
 FUNDAMENTAL = ["pe_ratio", "pb_ratio", "india_vix", "precomputed_sentiment", "pe_change_1d", "pb_change_1d", "vix_change_1d", "vix_change_5d", "vix_ma_5", "vix_ma_10", "pe_ma_10", "pb_ma_10", "vix_percentile", "pe_percentile", "pb_percentile", "pe_regime", "vix_regime", "pe_vix_danger", "vix_crisis", "market_expensive", "market_cheap"]
 
 
+def index_sentiment(daily: DataFrame) -> DataFrame:
+    """INDEX_SENTIMENT from daily news (symbol, date, article_count, avg_sentiment, sentiment_std)."""
+    x = daily.withColumns({"sentiment_score": F.col("avg_sentiment"), "article_count": F.col("article_count").cast("double")})
+    x = x.withColumns({f"sentiment_ma_{k}d": w.roll_mean("sentiment_score", k, 1) for k in (3, 5, 10)} | {f"buzz_ma_{k}d": w.roll_mean("article_count", k, 1) for k in (3, 5)} | {"sentiment_std_5d": F.coalesce(w.roll_std("sentiment_score", 5, 1), F.lit(0.0))})
+    return x.withColumn("sentiment_momentum", F.col("sentiment_ma_3d") - F.col("sentiment_ma_10d")).select("symbol", "date", *INDEX_SENTIMENT)
+
+
+def precomputed_sentiment(fundamental: DataFrame) -> DataFrame:
+    """INDEX_SENTIMENT where there are no headlines: the files' own standardised score; counts are 1, the deviation 0."""
+    return index_sentiment(fundamental.select("symbol", "date", F.lit(1).alias("article_count"), F.col("precomputed_sentiment").alias("avg_sentiment"), F.lit(0.0).alias("sentiment_std")))
+
+
+INDEX_SENTIMENT = ["sentiment_score", "sentiment_std", "article_count", "sentiment_ma_3d", "sentiment_ma_5d", "sentiment_ma_10d", "sentiment_momentum", "buzz_ma_3d", "buzz_ma_5d", "sentiment_std_5d"]
+
+
 def augment(df: DataFrame, columns: Sequence[str], target: str = "log_return_5d", lags: Sequence[int] = (1, 5), spans: Sequence[int] = (5, 10)) -> DataFrame:
     """Lags and rolling means of columns and rolling deviations of the target; incomplete rows are dropped."""
     new = {f"{c}_lag{k}": w.lag(c, k) for c in columns for k in lags} | {f"{c}_mom{k}": w.roll_mean(c, k) for c in columns for k in spans} | {f"target_vol_{k}": w.roll_std(target, k) for k in spans}

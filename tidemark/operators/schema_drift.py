@@ -165,7 +165,7 @@ def canonical_names(found: DataFrame) -> DataFrame:
             return lab
 
 
-def one_table(c: DataFrame, found: DataFrame) -> DataFrame:
+def one_table(c: DataFrame, found: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(index_symbol, on_day, file_no, fields): one row per index and day; file_no: the latest file that holds the day.
 
     fields maps each canonical name to its union: the branch as_integer, as_decimal or as_text holds the value in
@@ -173,7 +173,7 @@ def one_table(c: DataFrame, found: DataFrame) -> DataFrame:
     (from_file), so what a newer file lacks or holds as missing stays as the older one has it. A field missing in all
     files of the day has no branch. Two names of one file that are one canonical field stay apart, under their names.
     """
-    names = canonical_names(found)
+    names = canonical_names(found) if names is None else names
     v, k = F.col("value"), kind_of(F.col("value"))
     branch = F.struct(
         F.col("name").alias("written_as"),

@@ -12,7 +12,7 @@ from tidemark.functions import lexicon, scalars
 from tidemark.functions import windows as w
 from tidemark.ml import causal, evaluate, models
 from tidemark.operators import cleaning, features, panel, quality
-from tidemark.plans import pipeline
+from tidemark.plans import index, pipeline
 from tidemark.runtime import cut
 from tidemark.sources.tables import table
 
@@ -447,6 +447,11 @@ def feat_fundamentals(spark, d):
     return x.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), *[r6(c) if c != "pe_vix_danger" else F.col(c) for c in features.FUNDAMENTAL])
 
 
+@query()
+def feat_index_fundamentals(spark, d):
+    return features.fundamentals(index.rows(spark, d))
+
+
 _T5 = f"{BARS}, t as (select *, {LN(f'lead(close, 5) over ({P})', 'close')} as y, {LN('close', LAG('close'))} as r from bars)"
 
 
@@ -685,3 +690,8 @@ def ml_ensemble(spark, d):
 @query()
 def pipe_matrix(spark, d):
     return pipeline.matrix(spark, d)
+
+
+@query()
+def pipe_index_matrix(spark, d):
+    return index.matrix(spark, d)
