@@ -14,7 +14,7 @@ from tidemark.plans.pipeline import Config, matrix
 from tidemark.runtime import ensure_checkpoint_dir, ship_package
 from tidemark.sources.files import live, write_matrix
 
-USED = [*features.TECHNICAL, *features.SENTIMENT, "earnings_surprise", "earnings_drift_signal", "rolling_beta", "vol_regime", "iv_30d"]
+USED = features.ALL
 
 
 def main(args: Sequence[str] | None = None) -> None:

@@ -38,14 +38,15 @@ def granger_test(y: np.ndarray, x: np.ndarray, max_lag: int = 5, alpha: float =
 
 
 def granger(df: DataFrame, features: Sequence[str], target: str, max_lag: int = 5, alpha: float = 0.05) -> DataFrame:
-    """(symbol, feature, causal, min_pval, best_lag) for all symbols and features at once; a group is one series."""
-    long = df.select("symbol", "date", F.col(target).cast("double").alias("y"), *[F.col(f).cast("double") for f in features]).unpivot(["symbol", "date", "y"], list(features), "feature", "x")
+    """(symbol, feature, causal, min_pval, best_lag) for all symbols and features at once; a group is one symbol's rows."""
+    x = df.select("symbol", "date", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double") for f in features])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        return pd.DataFrame([(*key, *granger_test(pdf.y.to_numpy(float), pdf.x.to_numpy(float), max_lag, alpha))], columns=["symbol", "feature", "causal", "min_pval", "best_lag"])
+        y = pdf["_y"].to_numpy(float)
+        return pd.DataFrame([(*key, f, *granger_test(y, pdf[f].to_numpy(float), max_lag, alpha)) for f in features], columns=["symbol", "feature", "causal", "min_pval", "best_lag"])
 
-    return long.groupBy("symbol", "feature").applyInPandas(run, "symbol string, feature string, causal boolean, min_pval double, best_lag int")
+    return x.groupBy("symbol").applyInPandas(run, "symbol string, feature string, causal boolean, min_pval double, best_lag int")
 
 
 def lagged_moments(df: DataFrame, columns: Sequence[str], lags: int) -> tuple[int, np.ndarray, list[tuple[str, int]]]:
@@ -81,8 +82,8 @@ def _partial(cov: np.ndarray, i: int, j: int, z: list[int], n: int) -> tuple[flo
     return r, t_two_sided(r * math.sqrt(max(dof, 0) / (1 - r * r)), dof)
 
 
-def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, test: str = "ParCorr", max_conditions: int = 3) -> list[tuple[str, str, int, float, float]]:
-    """(source, target, lag, p-value, partial correlation) of every lagged pair.
+def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, test: str = "ParCorr", max_conditions: int = 3, targets: Sequence[str] | None = None) -> list[tuple[str, str, int, float, float]]:
+    """(source, target, lag, p-value, partial correlation) of every lagged pair, or of those into `targets`.
 
     Parents of each variable are found by conditioning on the strongest others; each link is then tested given the
     parents of both ends. Both stages need only the covariance of the lagged columns.
@@ -90,6 +91,31 @@ def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int
     if test != "ParCorr":
         raise ValueError(f"unsupported test {test}")
     n, cov, names = lagged_moments(df, columns, 2 * tau_max)
+    return _links(n, cov, names, columns, columns if targets is None else targets, tau_min, tau_max, pc_alpha, max_conditions)
+
+
+def pcmci_by_symbol(df: DataFrame, columns: Sequence[str], target: str, alpha: float = 0.01, tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, max_conditions: int = 3) -> DataFrame:
+    """(symbol, feature, causal, pval, val, best_lag) as links_into, from each symbol's own rows. Complete rows count;
+    a symbol with fewer than three of them has no links."""
+    x = df.select("symbol", "date", *[F.col(c).cast("double") for c in columns])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.sort_values("date")[list(columns)].to_numpy(float)
+        lags, out = 2 * tau_max, []
+        z = np.column_stack([m[lags - k : len(m) - k] for k in range(lags + 1)]) if len(m) > lags else np.zeros((0, 1))
+        z = z[~np.isnan(z).any(axis=1)]
+        if len(z) >= 3:
+            names = [(c, k) for k in range(lags + 1) for c in columns]
+            best = {}
+            for c, _, k, p, r in _links(len(z), np.cov(z, rowvar=False), names, columns, [target], tau_min, tau_max, pc_alpha, max_conditions):
+                best[c] = min(best.get(c, (2.0, 0, 0.0)), (p, k, r))
+            out = [(*key, c, p < alpha, p, r, k) for c, (p, k, r) in best.items() if c != target]
+        return pd.DataFrame(out, columns=["symbol", "feature", "causal", "pval", "val", "best_lag"])
+
+    return x.groupBy("symbol").applyInPandas(run, "symbol string, feature string, causal boolean, pval double, val double, best_lag int")
+
+
+def _links(n, cov, names, columns, targets, tau_min, tau_max, pc_alpha, max_conditions) -> list[tuple[str, str, int, float, float]]:
     at = {k: i for i, k in enumerate(names)}
     parents: dict[str, list[tuple[str, int]]] = {}
     for t in columns:
@@ -109,7 +135,7 @@ def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int
                 break
         parents[t] = cand
     out = []
-    for t in columns:
+    for t in targets:
         for c in columns:
             for k in range(tau_min, tau_max + 1):
                 z = [at[o] for o in parents[t] if o != (c, k)] + [at[o, j + k] for o, j in parents[c] if j + k <= 2 * tau_max]
@@ -132,10 +158,17 @@ def graph_matrix(df: DataFrame, links: list[tuple]) -> DataFrame:
 
 
 def select_features(g: DataFrame, p: DataFrame, strategy: str = "intersection", most: int = 15) -> DataFrame:
-    """Both tests joined, features by strategy, least conditional p-value first, capped at `most` (a top-k report)."""
-    x = g.select("feature", F.col("causal").alias("granger_causal"), F.round("min_pval", 4).alias("granger_pval")).join(p.select("feature", F.col("causal").alias("pcmci_causal"), F.round("pval", 4).alias("pcmci_pval"), F.col("best_lag").alias("pcmci_lag"), F.round("val", 4).alias("pcmci_val")), "feature", "full")
+    """Both tests joined, features by strategy, least conditional p-value first, capped at `most` (a top-k report).
+
+    If both tests are by symbol, so are the selection and its cap.
+    """
+    by = ["symbol"] if "symbol" in g.columns else []
+    x = g.select(*by, "feature", F.col("causal").alias("granger_causal"), F.round("min_pval", 4).alias("granger_pval")).join(p.select(*by, "feature", F.col("causal").alias("pcmci_causal"), F.round("pval", 4).alias("pcmci_pval"), F.col("best_lag").alias("pcmci_lag"), F.round("val", 4).alias("pcmci_val")), [*by, "feature"], "full")
     x = x.fillna({"granger_causal": False, "granger_pval": 1.0, "pcmci_causal": False, "pcmci_pval": 1.0, "pcmci_lag": -1, "pcmci_val": 0.0})
     chosen = F.col("granger_causal") & F.col("pcmci_causal") if strategy == "intersection" else F.col("granger_causal") | F.col("pcmci_causal")
+    if by:
+        rank = F.row_number().over(Window.partitionBy("symbol").orderBy("pcmci_pval", "feature"))
+        return x.filter(chosen).withColumn("_n", rank).filter(F.col("_n") <= most).drop("_n")
     return x.filter(chosen).orderBy("pcmci_pval", "feature").limit(most)
 
 

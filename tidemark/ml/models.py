@@ -165,7 +165,7 @@ class Ensemble:
     Features are scaled once. `regime` models are ensembles of their own rows; `predict` routes by the detector.
     """
 
-    def __init__(self, features: Sequence[str], target: str, rounds: int = 40, depth: int = 4):
+    def __init__(self, features: Sequence[str], target: str, rounds: int = 500, depth: int = 6):
         self.features, self.target, self.rounds, self.depth = list(features), target, rounds, depth
 
     def fit(self, matrix: DataFrame) -> Ensemble:

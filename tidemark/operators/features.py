@@ -214,3 +214,10 @@ def merge(bars: DataFrame, *families: DataFrame, by_date: DataFrame | None = Non
     if by_date is not None:
         x = x.join(by_date, "date", "left")
     return x.withColumns({c: w.fill_forward(c, limit) for c in fill if c in x.columns})
+
+
+SECTOR = ["volume_ratio_20d", "volume_trend_5d", "obv_momentum_10d", "rolling_beta", "idiosyncratic_momentum_5d", "idiosyncratic_momentum_20d", "sector_rel_momentum_5d", "sector_rel_momentum_20d", "vol_regime", "vol_of_vol", "vol_percentile"]
+EARNINGS = ["earnings_surprise", "earnings_surprise_abs", "days_since_earnings", "earnings_drift_signal", "beat_miss"]
+OPTIONS = ["iv_30d", "iv_60d", "iv_rv_spread_20", "iv_rv_spread_30", "iv_percentile_252", "iv_change_5d", "iv_term_structure"]
+#: Every feature column of the matrix.
+ALL = [*TECHNICAL, *MACRO, *SENTIMENT, *SECTOR, *EARNINGS, *OPTIONS]

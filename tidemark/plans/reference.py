@@ -625,22 +625,26 @@ def _small(spark, d):
     return x.withColumn("volatility_10d", w.roll_std("log_return_1d", 10)).dropna(subset=[*_CAND, "log_return_5d"])
 
 
+def _full(spark, d):
+    """The matrix with every feature; missing features are 0, as in the cleaned matrix, but no column goes."""
+    return cut(pipeline.matrix(spark, d).select("symbol", "date", "log_return_5d", *features.ALL).fillna(0.0, features.ALL))
+
+
 @query()
 def cau_granger(spark, d):
-    return causal.granger(_small(spark, d), _CAND, "log_return_5d")
+    return causal.granger(_full(spark, d), features.ALL, "log_return_5d")
 
 
 @query()
 def cau_pcmci(spark, d):
-    x = cut(_small(spark, d))
-    return causal.links_into(x, causal.pcmci(x, [*_CAND, "log_return_5d"]), "log_return_5d")
+    x = _full(spark, d)
+    return causal.links_into(x, causal.pcmci(x, [*features.ALL, "log_return_5d"], targets=["log_return_5d"]), "log_return_5d")
 
 
 @query()
 def cau_select(spark, d):
-    x = cut(_small(spark, d))
-    g = causal.granger(x, _CAND, "log_return_5d").groupBy("feature").agg(F.min(F.struct("min_pval", "best_lag")).alias("m")).select("feature", (F.col("m.min_pval") < 0.05).alias("causal"), F.col("m.min_pval").alias("min_pval"), F.col("m.best_lag").alias("best_lag"))
-    return causal.select_features(g, causal.links_into(x, causal.pcmci(x, [*_CAND, "log_return_5d"]), "log_return_5d"), "union")
+    x = _full(spark, d)
+    return causal.select_features(causal.granger(x, features.ALL, "log_return_5d"), causal.pcmci_by_symbol(x, [*features.ALL, "log_return_5d"], "log_return_5d"), "union")
 
 
 @query(f"with {_T5}, c as (select symbol, date, row_number() over ({P}) - 1 as i, count(*) over (partition by symbol) as n from t where y is not null) select symbol, {DAY}, case when i < floor(n * 0.7::double) then 'train' when i < floor(n * 0.85::double) then 'validation' else 'test' end as part from c")
@@ -682,9 +686,8 @@ def ml_detect_regime(spark, d):
 
 @query()
 def ml_ensemble(spark, d):
-    x = cut(_small(spark, d))
-    e = models.Ensemble(_CAND, "log_return_5d", rounds=10, depth=3).fit(x)
-    return e.predict(x)
+    x = _full(spark, d)
+    return models.Ensemble(features.ALL, "log_return_5d").fit(x).predict(x)
 
 
 @query()
