@@ -605,7 +605,7 @@ def ev_pre_regime_train(spark, d):
 
 @query()
 def ev_random_baseline(spark, d):
-    return evaluate.random_baseline(_preds(spark, d), trials=200)
+    return evaluate.random_baseline(_preds(spark, d))
 
 
 @query(f"with {_PRED}, l as (select *, {_LABEL} as regime from p) select symbol as model, {', '.join(f'''printf('%.2f', 100 * avg(((y_pred >= 0) = (y_true >= 0))::int) filter (regime = '{r}')) as {r}''' for r in ('bull', 'recovery'))} from l group by 1")
