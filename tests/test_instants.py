@@ -1,8 +1,10 @@
 import datetime as dt
+import zoneinfo
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tidemark.functions.zones import clock_changes
 from tidemark.operators import instants
 
 
@@ -43,6 +45,44 @@ def test_a_filter_does_not_multiply_the_plan(spark):
     assert len(plan) < 50_000
 
 
+ZONES = ["America/Sao_Paulo", "America/Havana", "America/St_Johns", "Asia/Beirut", "Africa/Casablanca", "Australia/Lord_Howe", "Europe/Chisinau", "Europe/Dublin", "Pacific/Apia", "UTC"]
+
+
+def test_local_times_around_all_clock_changes(spark):
+    """Every half hour around each change of ten zones, and the dates themselves, against the zone database directly."""
+    rows, want = [], {}
+    for name in ZONES:
+        z = zoneinfo.ZoneInfo(name)
+        for t, before, _ in clock_changes(name)[1]:
+            if not 1_199_145_600 <= t < 1_735_689_600:
+                continue
+            middle = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=t + before)
+            for k in range(-6, 7):
+                local = (middle + dt.timedelta(minutes=30 * k)).replace(second=0, microsecond=250_000)
+                u = local.replace(tzinfo=z, fold=0).astimezone(dt.UTC)
+                want[len(rows)] = (u - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) // dt.timedelta(microseconds=1) if u.astimezone(z).replace(tzinfo=None) == local else None
+                rows.append((len(rows), local.isoformat(), name))
+            day = middle.replace(hour=0, minute=0, second=0, microsecond=0)
+            u = day.replace(tzinfo=z, fold=0).astimezone(dt.UTC)
+            back = u.astimezone(z).replace(tzinfo=None)
+            if name != "Pacific/Apia":  # it skipped a whole day
+                assert back.date() == day.date()
+                want[len(rows)] = (u - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) // dt.timedelta(microseconds=1)
+                rows.append((len(rows), day.date().isoformat(), name))
+    assert len(rows) > 3000
+    df = spark.createDataFrame(rows, "id int, date string, z string")
+    got = {r.id: r.utc_us for r in instants.parse_instants(df, "date", "z", None).collect()}
+    assert {i: (rows[i], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_numeric_abbreviations_mean_the_zone_itself(spark):
+    zone = "America/Sao_Paulo"  # 2018-02-17 23:30 occurs twice, 2018-11-04 has no midnight
+    cases = [("2018-02-17 23:30:00 -03", utc(2018, 2, 18, 1, 30)), ("2018-02-17 23:30:00 -02", utc(2018, 2, 18, 1, 30)), ("2018-02-17 23:30:00-03:00", utc(2018, 2, 18, 2, 30)), ("2018-02-17 23:30:00 +05", utc(2018, 2, 17, 18, 30)), ("2018-06-01 10:00:00 -03", utc(2018, 6, 1, 13)), ("2018-11-04", utc(2018, 11, 4, 3)), ("2018-11-04 00:30", None)]
+    df = spark.createDataFrame([(i, t, zone) for i, (t, _) in enumerate(cases)] + [(99, "2018-06-01 10:00", "No/Such")], "id int, date string, z string")
+    got = {r.id: r.utc_us for r in instants.parse_instants(df, "date", "z", None).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)} | {99: None}
+
+
 def test_empty(spark):
     rows = spark.createDataFrame([], "date string, feed string")
     feeds = spark.createDataFrame([], "feed string, tz_name string, day_order string")

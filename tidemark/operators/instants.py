@@ -2,14 +2,16 @@
 
 All formats are one regular expression of alternatives with named groups. It runs once per row, inside the JVM: the
 match is rewritten to its components between separators, which are split off, checked against the calendar and
-assembled by integer day arithmetic. A zone, an offset or UTC/GMT in the text holds before the source's zone; other
-zone abbreviations mean the source's own zone.
+assembled by integer day arithmetic, clock changes included (functions.zones). A zone, an offset or UTC/GMT in the
+text holds before the source's zone; other zone abbreviations mean the source's own zone, also numeric ones like -03
+that agree with the zone at that time.
 
 Defined cases: surrounding white space is ignored. Null, empty and unknown forms, dates and times of day that do
 not exist, and local times that the clock skipped have no instant (null). A local time that occurs twice is the
 earlier instant. Digits beyond the microsecond are cut off; numbers of 10, 13, 16 and 19 digits are seconds, milli-,
 micro- and nanoseconds since 1970. Without a known source zone only texts with their own zone have an instant, and
-all-number dates that need a day order have none.
+all-number dates that need a day order have none. A zone name that the driver's zone database lacks is unknown. Before
+1900 and after 2100 a zone keeps the offset it has there.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import zones
 from tidemark.functions.times import DAY_US
 from tidemark.runtime import maybe_broadcast
 
@@ -60,8 +63,11 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return (era * 146_097 + doe - 719_468).cast("long")
 
 
-def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None, out: str = "utc_us") -> DataFrame:
-    """Adds `out` (long, microseconds; null: no instant). zone, order: columns with an IANA name and 'dmy' or 'mdy'."""
+def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None, out: str = "utc_us", zone_names: DataFrame | None = None) -> DataFrame:
+    """Adds `out` (long, microseconds; null: no instant). zone, order: columns with an IANA name and 'dmy' or 'mdy'.
+
+    zone_names: a smaller table with the same column of zones (else they are looked up in df).
+    """
     pattern, replacement = compile_formats()
     x = df.withColumn("__m", F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), _SEP))
     n = len(PARTS)
@@ -89,14 +95,22 @@ def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None
     offset = F.when((off_h <= 18) & (off_m <= 59), F.when(off.startswith("-"), -1).otherwise(1) * (off_h * 60 + off_m).cast("long") * 60_000_000)
     x = x.withColumns({"__local": local, "__offset": offset})
     utc_name = F.upper(F.coalesce("__z", F.lit(""))).isin("Z", "UTC", "GMT")
-    # a clock change is found by going to UTC and back: a skipped local time doesn't return to itself
-    there = F.to_utc_timestamp(F.timestamp_micros("__local"), F.col(zone)) if zone else F.lit(None).cast("timestamp")
-    x = x.withColumn("__there", F.when(F.col("__off").isNull() & ~utc_name & F.col("__local").isNotNull() & (F.col(zone).isNotNull() if zone else F.lit(False)), there))
-    # (a date without a time is the start of its day, also where midnight was skipped)
-    back = F.unix_micros(F.from_utc_timestamp("__there", F.col(zone))) if zone else F.lit(None).cast("long")
+    known = F.col("__local").isNotNull() & ~utc_name
+    if zone:
+        names = zones.known_zones(df if zone_names is None else zone_names, zone)
+        rules, slots = zones.rules_table(df.sparkSession, names)  # bounded by the zone database
+        year = F.when(known, F.least(F.greatest("__yy", F.lit(zones.FIRST_YEAR)), F.lit(zones.LAST_YEAR)))
+        x = x.withColumn("__year", year).join(F.broadcast(rules.withColumnsRenamed({"zone": "__rule_zone", "year": "__rule_year"})), (F.col(zone) == F.col("__rule_zone")) & (F.col("__year") == F.col("__rule_year")), "left")
+        own = F.when(F.col("off0").isNotNull(), zones.earliest_instant(F.col("__local"), slots, F.col("__h").isNull()))  # a date is the start of its day
+        late = zones.latest_instant(F.col("__local"), slots)
+    else:
+        own = late = F.lit(None).cast("long")
+    given = F.col("__local") - F.col("__offset")
+    # an hour without minutes is how the zone database abbreviates many zones: the zone's own then, if it agrees
+    given = F.when((F.length("__off") == 3) & (given == late), F.coalesce(own, given)).otherwise(given)
     e, k = F.col("__e").try_cast("long"), F.length("__e")
     epoch = F.when(k == 10, e * 1_000_000).when(k == 13, e * 1000).when(k == 16, e).when(k == 19, F.substring("__e", 1, 16).try_cast("long"))
-    result = F.when(F.col("__e").isNotNull(), epoch).when(F.col("__off").isNotNull(), F.col("__local") - F.col("__offset")).when(utc_name, F.col("__local")).when((back == F.col("__local")) | F.col("__h").isNull(), F.unix_micros("__there"))
+    result = F.when(F.col("__e").isNotNull(), epoch).when(F.col("__off").isNotNull(), given).when(utc_name, F.col("__local")).otherwise(own)
     # The generator is a barrier: a filter on the result pushed below would repeat the whole chain of expressions.
     return x.select(*[c for c in df.columns if c != out], F.explode(F.array(result)).alias(out))
 
@@ -111,4 +125,4 @@ def normalise_instants(rows: DataFrame, sources: DataFrame, text: str = "date",
     s = sources.select(key(F.col(source)).alias("__source"), F.struct(F.col(zone).alias("zone"), F.col(order).alias("order")).alias("__s")).filter("__source is not null").groupBy("__source").agg(F.min("__s").alias("__s"))
     s = s.select("__source", F.col("__s.zone").alias("__tz"), F.col("__s.order").alias("__order"))
     x = rows.withColumn("__source", key(F.col(source))).join(maybe_broadcast(s), "__source", "left").withColumnsRenamed({"__tz": "_source_tz", "__order": "_source_order"}).drop("__source")
-    return parse_instants(x, text, "_source_tz", "_source_order").drop("_source_tz", "_source_order")
+    return parse_instants(x, text, "_source_tz", "_source_order", zone_names=s.select(F.col("__tz").alias("_source_tz"))).drop("_source_tz", "_source_order")

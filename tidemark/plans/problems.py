@@ -169,6 +169,7 @@ k as (select *, case when local is not null and tz is not null then timezone(tz,
 e as (select *, case when timezone(tz, u - interval 1 hour) = local then u - interval 1 hour else u end as u0 from k)
 select serial_no, case when off is not null then epoch_us(local) - (case when off[1] = '-' then -1 else 1 end) * (try_cast(off[2:3] as bigint) * 60 + try_cast(right(off, 2) as bigint)) * 60000000 when local is not null then epoch_us(u0) else try_cast(t as bigint) * (case length(t) when 10 then 1000000 when 13 then 1000 else 1 end) end::bigint as utc_us
 from e where case when off is not null then local is not null when local is not null then timezone(tz, u0) = local else regexp_matches(t, '^\d+$') and length(t) in (10, 13, 16) end""".replace("@", _MONTHS)
+SQL["p5_instants"] = f"select a.serial_no, a.date, a.feed, f.utc_us from (select serial_no, date, feed from {HEADLINES[0]} union all select serial_no, date, feed from {HEADLINES[1]}) a left join ({SQL['p5_found']}) f on a.serial_no = f.serial_no"
 
 
 def _split_sql(x: str, d: str) -> str:
