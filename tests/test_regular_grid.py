@@ -38,3 +38,9 @@ def test_last_reading_of_a_day(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "source string, on_day date, value double")
     assert g.fill_grid(df, "source", "on_day", "value").count() == 0
+
+
+def test_found_days_come_from_the_carry(spark):
+    df = spark.createDataFrame([("A", DAY, 1.0), ("A", DAY + dt.timedelta(8), 3.0)], "source string, on_day date, value double")
+    plan = g.fill_grid(df, "source", "on_day", "value").filter("missing").select("source", "on_day")._jdf.queryExecution().optimizedPlan().toString()
+    assert "carry" in plan and "last(" in plan

@@ -60,8 +60,10 @@ def fill_grid(daily: DataFrame, source: str, day: str, value: str, weekdays_only
     here = F.when(F.col("value").isNotNull(), F.struct("n", "value"))
     carried = F.coalesce(F.last(here, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.last("carry", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.max("carry").over(Window.partitionBy("source", "shard")))
     later = F.coalesce(F.first(here, True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.max("ahead").over(Window.partitionBy("source", "shard")))
-    out = merged.select("source", "n", "on_grid", F.col("value").isNull().alias("missing"), carried.alias("c"), later.alias("l")).filter("on_grid")
-    return out.select("source", F.date_from_unix_date("n").alias("on_day"), F.col("c.value").alias("value"), "missing", F.date_from_unix_date("c.n").alias("filled_from"), F.date_from_unix_date("l.n").alias("next_day"))
+    out = merged.select("source", "n", "on_grid", carried.alias("c"), later.alias("l")).filter("on_grid")
+    # a day is missing if what it shows was carried to it, or nothing was
+    missing = F.coalesce(F.col("c.n") < F.col("n"), F.lit(True)).alias("missing")
+    return out.select("source", F.date_from_unix_date("n").alias("on_day"), F.col("c.value").alias("value"), missing, F.date_from_unix_date("c.n").alias("filled_from"), F.date_from_unix_date("l.n").alias("next_day"))
 
 
 def last_of_day(df: DataFrame, source: str, at_us: Column, value: str, tie: str) -> DataFrame:

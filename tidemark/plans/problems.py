@@ -140,6 +140,16 @@ select 'macro.close' as field_name, symbol, strftime(date, '%Y-%m-%d') as on_day
 union all select 'sentiment.sentiment_score', symbol, strftime(date, '%Y-%m-%d') from sd where not exists (select 1 from held h where h.symbol = sd.symbol and h.date = sd.date and h.r.s is not null)
 union all select 'sentiment.article_count', symbol, strftime(date, '%Y-%m-%d') from sd where not exists (select 1 from held h where h.symbol = sd.symbol and h.date = sd.date and h.r.a is not null)"""
 
+_FILLED = "select '{0}' as field_name, symbol, strftime(date, '%Y-%m-%d') as on_day, last_value(v ignore nulls) over (partition by symbol order by date)::double as value, v is null as missing, strftime(last_value(case when v is not null then date end ignore nulls) over (partition by symbol order by date), '%Y-%m-%d') as filled_from from {1}"
+SQL["p6_grid"] = f"""{_SENT},
+m as (select symbol, date::date as date, arg_max(close, struct_pack(t := date, r := reading_id)) as v from macro where close is not null and not isnan(close) group by 1, 2),
+md as (select symbol, unnest(generate_series(min(date)::timestamp, max(date)::timestamp, interval 1 day))::date as date from m group by 1),
+sd as (select symbol, unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 day))::date as date from span),
+gm as ({_FILLED.format("macro.close", "(select md.symbol, md.date, v from md left join m on m.symbol = md.symbol and m.date = md.date)")})
+select * from gm where isodow(on_day::date) < 6
+union all {_FILLED.format("sentiment.sentiment_score", "(select sd.symbol, sd.date, h.r.s as v from sd left join held h on h.symbol = sd.symbol and h.date = sd.date)")}
+union all {_FILLED.format("sentiment.article_count", "(select sd.symbol, sd.date, h.r.a as v from sd left join held h on h.symbol = sd.symbol and h.date = sd.date)")}"""
+
 SQL["p1_found"] = """with r as (select 'prices' as table_name, bar_id as row_id, 'close' as field_name, symbol, date, close as v from prices where close is not null and not isnan(close) and date is not null
 union all select 'prices', bar_id, 'volume', symbol, date, volume from prices where volume is not null and not isnan(volume) and date is not null
 union all select 'macro', reading_id, 'close', symbol, date, close from macro where close is not null and not isnan(close) and date is not null),
