@@ -22,8 +22,11 @@ def brute(docs, items, run=12):
     return {(d, i) for d, t in docs for i, x in g if x & grams(t)}
 
 
-@pytest.mark.parametrize("units", [60, 10_000])
-def test_against_brute_force(spark, units):
+@pytest.mark.parametrize("keys, rows", [(0, 0), (1 << 23, 500_000)])
+def test_against_brute_force(spark, keys, rows, monkeypatch):
+    """With the filter and a broadcast, and without either."""
+    monkeypatch.setattr(leakage, "FILTER_KEYS", keys)
+    monkeypatch.setattr(leakage, "INDEX_ROWS", rows)
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 30)))) for i in range(12)] + [(50, None), (51, "")]
@@ -34,7 +37,7 @@ def test_against_brute_force(spark, units):
         k = r.choice([0, 11, 12, 13])
         docs.append((i, " ".join(w[:20] + src[2 : 2 + k] + w[20:])))
     docs += [(900, None), (901, ""), (902, docs[3][1]), (903, "word " * 200_000 + items[0][1])]
-    assert run(spark, docs, items, item_units=units) == brute(docs, items)
+    assert run(spark, docs, items) == brute(docs, items)
 
 
 def test_markup_entities_case_and_invisible_characters(spark):
@@ -43,11 +46,42 @@ def test_markup_entities_case_and_invisible_characters(spark):
     assert run(spark, docs, [(7, item)]) == {(1, 7), (2, 7)}
 
 
-def test_equal_runs_have_equal_minima():
-    h = np.random.default_rng(1).integers(0, 2**63, 200).astype("uint64")
-    a, b = leakage.unit_minima(h), leakage.unit_minima(h[50:62])
-    assert len(b) == 1 and a[50] == b[0] and len(leakage.unit_minima(h[:11])) == 0
-    assert len(np.unique(a)) < 0.35 * len(h)  # a sketch is sparse
+def test_hash_functions_follow_the_size_of_the_window():
+    n = [leakage.bands(u, 8) for u in (8, 9, 10, 11, 12)]
+    assert n[0] == 1 and n == sorted(n) and all((1 - 8 / u) ** k <= leakage.MISS for u, k in zip((9, 10, 11, 12), n[1:], strict=True))
+    assert n[4] < 20
+
+
+def test_recall_on_planted_passages():
+    """Passages of 12 words at every place of windows of every size, 20,000 of them: none is missed, few others agree."""
+    r = np.random.default_rng(1)
+    missed = false = 0
+    for k in range(20_000):
+        size = 12 + k % 5
+        h = r.integers(0, 2**63, size).astype("uint64")
+        at = int(r.integers(0, size - 11))
+        s = leakage.shingle_hashes(h)
+        n = leakage.bands(len(s), 8)
+        whole = leakage.window_minima(s, len(s), n)
+        part = leakage.window_minima(leakage.shingle_hashes(h[at : at + 12]), 8, n)
+        other = leakage.window_minima(leakage.shingle_hashes(r.integers(0, 2**63, 12).astype("uint64")), 8, n)
+        missed += not (whole == part).any()
+        false += (whole == other).any()
+    assert missed == 0 and false == 0
+
+
+def test_every_passage_lies_in_a_window():
+    for n in range(12, 80):
+        w = leakage._windows(n, 16, 12)
+        assert all(any(s <= i and i + 12 <= min(n, s + 16) for s in w) for i in range(n - 11)) and w[-1] + min(n, 16) == n
+
+
+def test_the_filter_lets_all_keys_pass(spark):
+    sig = np.random.default_rng(2).integers(-(2**63), 2**63, 3000)
+    f = leakage.make_filter(spark.createDataFrame([(int(x),) for x in sig], "sig long"), 3000)
+    other = np.random.default_rng(3).integers(0, 2**63, 100_000).astype("uint64")
+    assert leakage._hit(f, sig.view("uint64")).all() and leakage._hit(f, other).mean() < 0.01
+    assert leakage.make_filter(None, leakage.FILTER_KEYS + 1) is None
 
 
 def test_empty(spark):

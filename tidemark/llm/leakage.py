@@ -1,24 +1,30 @@
-"""Passages of held-out items inside a corpus: windowed MinHash search, verified word by word.
-
-A text is the sequence of its words; what counts as leaked is a run of RUN words in common. Documents and items
-differ in size by orders of magnitude, and so little of an item may be leaked that the Jaccard similarity of whole
-texts, and of a document with an item, says nothing. So texts are partitioned by size down to one unit: every run of
-RUN words is a set of RUN-4 shingles of five words, and a document of any size is the collection of its units. Units
-of a passage in common are equal sets, so their MinHash values are equal with certainty: a sketch of one minimum per
-unit finds every leak, with no chance of a miss. (A sketch keeps about 2 of 9 shingles.) Documents whose sketch holds
-a minimum of some item are verified by exact containment of the run itself.
-
-Items are searched in blocks of at most ITEM_UNITS units, each sent to all tasks; there is one pass over the corpus a
-block, no shuffle of it, and no list of candidates.
+"""Passages of held-out items inside a corpus: size-partitioned MinHash containment, verified word by word.
+
+What counts as leaked is a run of RUN words in common. A query is such a passage of an item: a set of RUN - SHINGLE + 1
+shingles of SHINGLE words. The domains are windows of the documents: a text is covered by windows of WINDOW words that
+overlap by RUN - 1, so that every passage lies whole within one. MinHash estimates Jaccard similarity, so the windows
+are partitioned by size: in the partition of windows of u shingles a passage of q shingles that is contained (a
+containment of 1) has a Jaccard similarity of q / u, and the number of hash functions, each a band of one row, is set so
+that the chance that none of them agrees is at most MISS (`bands`). Short texts are one small window and need few.
+
+1. The items' signatures are a table (signature, item), made in parallel, however many items there are.
+2. One pass over the corpus makes the signatures of all windows. Those not in a Bloom filter of the items' signatures are
+   dropped at once; the filter has at most FILTER_BITS bits, and beyond FILTER_KEYS signatures there is none, which
+   costs time and no result.
+3. The rest are joined with the items' table on the signature: broadcast if it is counted to be small, else a shuffle
+   whose hot signatures Spark splits.
+4. Candidates are verified exactly: the window holds RUN consecutive words of the item.
 
 Defined cases: null and empty texts and texts under RUN words hold no passage. Each document and item is reported
-once. Repeated documents and items are each reported. Markup within a line is a gap between words, then entities are
-resolved, then invisible characters dropped; letters are compared without regard to case. Empty tables give nothing.
+once. Repeated documents and items are each reported; null ids are ids like others. Markup within a line is a gap between
+words, then entities are resolved, then invisible characters dropped; letters are compared without regard to case. Very
+long texts are worked through in parts of PART_WORDS words. Other columns are ignored. Empty tables give nothing.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
@@ -27,8 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, SHINGLE = 12, 5
-ITEM_UNITS = 400_000
+from tidemark.runtime import cut, maybe_broadcast
+
+RUN, SHINGLE, WINDOW = 12, 5, 16
+#: Chance that a passage shares no signature with the window that holds it.
+MISS = 1e-9
+FILTER_BITS, FILTER_KEYS = 1 << 27, 1 << 23
+INDEX_ROWS, PART_WORDS = 500_000, 50_000
 _MARKUP = re.compile(r"<[^<>\n]*>|\[[^\[\]\n]*\]")
 #: Soft hyphen, zero-width and invisible formatting characters.
 _INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿]")
@@ -66,66 +77,178 @@ class Hasher:
         return np.array(out, "uint64")
 
 
-def unit_minima(h: np.ndarray, run: int = RUN, shingle: int = SHINGLE) -> np.ndarray:
-    """The MinHash of each run of words: the least hash of its shingles, by position of the run's first word."""
-    n = len(h) - run + 1
-    if n <= 0:
-        return np.empty(0, "uint64")
+def bands(shingles: int, passage: int) -> int:
+    """How many hash functions find a passage of so many shingles in a window of `shingles` but for a chance of MISS."""
+    return 1 if shingles <= passage else math.ceil(math.log(MISS) / math.log(1 - passage / shingles))
+
+
+def shingle_hashes(h: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of `shingle` word hashes."""
+    m = max(0, len(h) - shingle + 1)
     with np.errstate(over="ignore"):
-        m = len(h) - shingle + 1
         s = np.zeros(m, "uint64")
         for k in range(shingle):
             s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
         s ^= s >> np.uint64(31)
         s *= np.uint64(0xBF58476D1CE4E5B9)
-        s ^= s >> np.uint64(29)
-    out = s[:n].copy()
-    for k in range(1, run - shingle + 1):
-        np.minimum(out, s[k : k + n], out=out)
+        return s ^ (s >> np.uint64(29))
+
+
+def family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd multipliers of n hash functions."""
+    r = np.random.default_rng(20240521)
+    return r.integers(0, 2**63, (n, 1), "uint64"), r.integers(0, 2**63, (n, 1), "uint64") * np.uint64(2) + np.uint64(1)
+
+
+def window_minima(s: np.ndarray, width: int, n: int, pad: np.ndarray | None = None) -> np.ndarray:
+    """(n, len(s) - width + 1): under each hash function the least hash of every `width` consecutive shingles, with the
+    function's number mixed in. Padding never is a minimum."""
+    mask, mul = family(n)
+    with np.errstate(over="ignore"):
+        m = (s ^ mask) * mul
+    if pad is not None:
+        m[:, pad] = np.uint64(2**64 - 1)
+    have = 1
+    while have < width:  # minima of 2, 4, 8 ... and then of exactly `width` shingles
+        step = min(have, width - have)
+        m = np.minimum(m[:, : m.shape[1] - step], m[:, step:])
+        have += step
+    return m ^ (np.arange(n, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def passage_signatures(text: str | None, hasher: Hasher, run: int, shingle: int, n: int) -> np.ndarray:
+    """The distinct signatures of all passages of an item."""
+    s = shingle_hashes(hasher(words(text)), shingle)
+    width = run - shingle + 1
+    if len(s) < width:
+        return np.empty(0, "uint64")
+    part = PART_WORDS
+    return np.unique(np.concatenate([window_minima(s[i : i + part + width - 1], width, n).ravel() for i in range(0, len(s) - width + 1, part)]))
+
+
+def _hit(filter_: np.ndarray | None, sig: np.ndarray) -> np.ndarray:
+    """Which signatures may be in the filter (two bits each)."""
+    if filter_ is None:
+        return np.ones(sig.shape, bool)
+    top = np.uint64(len(filter_) * 64 - 1)
+    test = lambda p: (filter_[(p >> np.uint64(6)).astype("int64")] >> (p & np.uint64(63))) & np.uint64(1) != 0
+    out = test(sig & top)
+    out[out] = test((sig[out] >> np.uint64(32)) & top)
     return out
 
 
-def _index(items: list[tuple], run: int, shingle: int) -> tuple[np.ndarray, dict[tuple, list]]:
-    """(sorted minima of all units, run of words -> items)."""
-    hasher, minima, runs = Hasher(), [], {}
-    for i, text in items:
-        w = words(text)
-        minima.append(unit_minima(hasher(w), run, shingle))
-        for k in range(len(w) - run + 1):
-            at = runs.setdefault(tuple(w[k : k + run]), [])
-            if not at or at[-1] != i:
-                at.append(i)
-    return np.unique(np.concatenate([*minima, np.empty(0, "uint64")])), runs
+def make_filter(signatures: DataFrame, keys: int) -> np.ndarray | None:
+    """A Bloom filter of the column `sig`, in 64-bit words; None if there are too many keys for one."""
+    if keys > FILTER_KEYS:
+        return None
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (64 * max(1, keys) - 1).bit_length()))
+    top = np.uint64(bits - 1)
+
+    def partial(batches):
+        w = np.zeros(bits // 64, "uint64")
+        for b in batches:
+            sig = b.sig.to_numpy("int64").view("uint64")
+            for p in (sig & top, (sig >> np.uint64(32)) & top):
+                np.bitwise_or.at(w, (p >> np.uint64(6)).astype("int64"), np.uint64(1) << (p & np.uint64(63)))
+        yield pd.DataFrame({"w": [w.tobytes()]})
+
+    out = np.zeros(bits // 64, "uint64")
+    for r in signatures.select("sig").coalesce(4).mapInPandas(partial, "w binary").toLocalIterator():  # 16 MB each at most
+        out |= np.frombuffer(bytes(r.w), "uint64")
+    return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, shingle: int = SHINGLE, item_units: int = ITEM_UNITS) -> DataFrame:
+def _windows(n: int, window: int, run: int) -> range | list[int]:
+    """First words of the windows that cover n >= run words."""
+    if n <= window:
+        return [0]
+    starts = list(range(0, n - window + 1, window - run + 1))
+    return starts if starts[-1] == n - window else [*starts, n - window]
+
+
+def item_index(items: DataFrame, run: int = RUN, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
+    """(sig, item_id): the distinct signatures of items(item_id, text)."""
+    n, kind = bands(window - shingle + 1, run - shingle + 1), items.schema["item_id"].dataType.simpleString()
+
+    def sign(batches):
+        hasher = Hasher()
+        for b in batches:
+            for i, t in zip(b.item_id, b.text, strict=True):
+                sig = passage_signatures(t, hasher, run, shingle, n)
+                yield pd.DataFrame({"sig": sig.view("int64"), "item_id": [i] * len(sig)})
+
+    return items.mapInPandas(sign, f"sig long, item_id {kind}").distinct()
+
+
+def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
+    """(doc_id, words, sigs) of the windows of docs(doc_id, text) with signatures that may be in the filter (a broadcast)."""
+    q, u = run - shingle + 1, window - shingle + 1
+    of_size = np.array([bands(max(k, q), q) for k in range(u + 1)])
+    n, kind = int(of_size[u]), docs.schema["doc_id"].dataType.simpleString()
+
+    def search(batches):
+        hasher, known = Hasher(), filter_.value
+        for b in batches:
+            parts: list[tuple] = []
+            size = 0
+
+            def flush(parts):
+                s, pad, at, need, where = [], [], [], [], []
+                base = 0
+                for i, w, starts in parts:
+                    h = shingle_hashes(hasher(w), shingle)
+                    empty = max(0, u - len(h))
+                    s += [h, np.zeros(empty, "uint64")]
+                    pad += [np.zeros(len(h), bool), np.ones(empty, bool)]
+                    at.append(np.asarray(starts) + base)
+                    need.append(np.full(len(starts), of_size[min(len(h), u)]))
+                    where += [(i, w, k) for k in starts]
+                    base += len(h) + empty
+                sig = window_minima(np.concatenate(s), u, n, np.concatenate(pad))[:, np.concatenate(at)]
+                hit = np.zeros(sig.shape, bool)
+                used = np.arange(n)[:, None] < np.concatenate(need)[None]
+                hit[used] = _hit(known, sig[used])
+                some = np.flatnonzero(hit.any(axis=0))
+                rows = [(where[k][0], where[k][1][where[k][2] : where[k][2] + window], sig[hit[:, k], k].view("int64").tolist()) for k in some]
+                return pd.DataFrame(rows, columns=["doc_id", "words", "sigs"])
+
+            for i, t in zip(b.doc_id, b.text, strict=True):
+                w = words(t)
+                if len(w) < run:
+                    continue
+                starts = _windows(len(w), window, run)
+                per = PART_WORDS // (window - run + 1)
+                for k in range(0, len(starts), per):
+                    mine = starts[k : k + per]
+                    parts.append((i, w[mine[0] : mine[-1] + window], [x - mine[0] for x in mine]))
+                    size += mine[-1] + window - mine[0]
+                    if size >= PART_WORDS:
+                        yield flush(parts)
+                        parts, size = [], 0
+            if parts:
+                yield flush(parts)
+
+    return docs.mapInPandas(search, f"doc_id {kind}, words array<string>, sigs array<long>")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id) of every document that holds `run` consecutive words of an item."""
-    it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
-    units = it.agg(F.sum(F.length("text"))).first()[0] or 0  # a run begins at a character at most
-    blocks = max(1, -(-units // item_units))
-    kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    if not 0 < shingle <= run <= window:
+        raise ValueError("0 < shingle <= run <= window is needed")
+    it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter(F.length("text") >= 2 * run - 1)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 2 * run - 1)
-    out = None
-    for b in range(blocks):
-        part = it if blocks == 1 else it.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        # about item_units characters by construction, so bounded
-        minima, runs = _index([(r.item_id, r.text) for r in part.collect()], run, shingle)
-        sent = docs.sparkSession.sparkContext.broadcast((minima, runs))
-
-        def search(batches, sent=sent):
-            known, exact = sent.value
-            hasher = Hasher()
-            for x in batches:
-                pairs = []
-                if len(known):
-                    for i, t in zip(x.doc_id, x.text, strict=True):
-                        w = words(t)
-                        m = unit_minima(hasher(w), run, shingle)
-                        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m)
-                        leaked = {j for k in at for j in exact.get(tuple(w[k : k + run]), ())}
-                        pairs += [(i, j) for j in leaked]
-                yield pd.DataFrame(pairs, columns=["doc_id", "item_id"])
-
-        one = d.mapInPandas(search, f"doc_id {kinds[0]}, item_id {kinds[1]}")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    index = cut(item_index(it, run, shingle, window))
+    keys = index.count()
+    sent = docs.sparkSession.sparkContext.broadcast(make_filter(index, keys))
+    found = candidate_windows(d, sent, run, shingle, window)
+    pairs = found.select("doc_id", "words", F.explode("sigs").alias("sig")).join(maybe_broadcast(index, INDEX_ROWS), "sig").select("doc_id", "words", "item_id").distinct()
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def spell(batches):
+        for b in batches:
+            yield pd.DataFrame({"i_": b.item_id, "whole": [f" {' '.join(words(t))} " for t in b.text]})
+
+    whole = it.distinct().mapInPandas(spell, f"i_ {kind}, whole string")
+    passage = lambda k: F.concat(F.lit(" "), F.array_join(F.slice("words", k, F.lit(run)), " "), F.lit(" "))
+    holds = F.exists(F.sequence(F.lit(1), F.size("words") - run + 1), lambda k: F.contains(F.col("whole"), passage(k)))
+    return pairs.join(maybe_broadcast(whole), F.col("item_id").eqNullSafe(F.col("i_"))).filter(holds).select("doc_id", "item_id").distinct()
