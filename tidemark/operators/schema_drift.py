@@ -1,25 +1,27 @@
 """Delimited files whose fields drift, read as one table, with a list of every change.
 
 The lines of all files are one table; a file is never gathered. Each file's header is found by an aggregation and
-joined back to its lines in pieces of PIECE lines, so that a giant file is spread. Lines become cells, and the cells'
-types are fused per file and field into a tagged union: for every field the set of alternatives (integer, decimal,
-text) that occur. Each cell keeps its own branch of the union besides one canonical amount. Files are compared with
-the one before; a new and a gone name are the same field if they hold the same amounts on the days found in both.
+joined back to its lines: broadcast if the files are counted to be few, else in pieces of PIECE lines, so that a giant
+file is spread. A line stays one row of values until its fields are fused, per file and field and partially aggregated,
+into a tagged union: for every field the set of alternatives (integer, decimal, text) that occur. Each cell keeps its
+own branch of the union besides one canonical amount. Files are compared with the one before; a new and a gone name are
+the same field if they hold the same amounts on the days found in both. Only these names' cells are compared, and all
+else about changes is worked out on one row a file.
 
 Defined cases: blank lines and lines that begin with # are no data; a file without any other line has no schema.
 Repeated lines and days count once (the first line), a repeated header is no data. Missing values (empty, NA, null, -) have no alternative; a
 field of missing values only has no kind and is never retyped. Short lines lack their last fields, further values of
-long lines are dropped. A name that a header repeats counts once (the first). Null lines and null file numbers are
-left out. Amounts written to few digits (12.3M, 1.234E+07) equal all amounts that round to them. Empty tables give
-an empty table and no changes.
+long lines are dropped. A name that a header repeats counts once (the first). A quote that is never closed is a character
+like others. Null lines and null file numbers are left out. Amounts written to few digits (12.3M, 1.234E+07) equal all
+amounts that round to them. Empty tables give an empty table and no changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import cut
+from tidemark.runtime import BROADCAST_ROWS, cut, maybe_broadcast
 
 #: What stands for a missing value.
 MISSING = ("", "NA", "null", "-")
@@ -33,52 +35,83 @@ LINE = [*FILE, "received_at", "line_no", "raw_line"]
 
 
 def _split(line: Column, by: Column) -> Column:
-    """Fields between delimiters that stand outside double quotes."""
+    """Fields between delimiters that stand outside double quotes; each character is looked at once."""
     out = F.array(line)
     for d in DELIMITERS:
-        e = f"\\{d}" if d != "\t" else "\\t"
-        out = F.when(by == d, F.split(line, f'{e}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)).otherwise(out)
+        e = "\\t" if d == "\t" else d
+        quoted = F.regexp_extract_all(F.concat(line, F.lit(d)), F.lit(f'((?:[^{e}"]++|"[^"]*+"|")*+)[{e}]'), F.lit(1))
+        out = F.when(by == d, F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, f"[{e}]", -1))).otherwise(out)
     return out
 
 
 def _unquoted(v: Column) -> Column:
     t = F.trim(v)
-    return F.when(t.rlike('^".*"$') & (F.length(t) >= 2), F.replace(F.regexp_replace(t, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(t)
+    inside = F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"')) & (F.length(t) >= 2)
+    return F.when(inside, F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
 
 
 def _clean_name(v: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.trim(F.regexp_replace(v, "﻿", "")), '^"+|"+$', "")))
 
 
-def schemas(lines: DataFrame) -> DataFrame:
-    """(index_symbol, file_no, received_at, header_no, header, delimiter, names, pieces): one row a file."""
+def _headers(lines: DataFrame) -> DataFrame:
+    """(index_symbol, file_no, received_at, header_no, header, delimiter, names, pieces, fields): one row a file."""
     at = F.struct("line_no", "raw_line")
-    data = F.when((F.trim(F.regexp_replace("raw_line", "[\t﻿]", " ")) != "") & ~F.col("raw_line").rlike("^[﻿\\s]*#"), at)
+    data = F.when((F.trim(F.regexp_replace("raw_line", "[\t\ufeff]", " ")) != "") & ~F.col("raw_line").rlike("^[\ufeff\\s]*#"), at)
     h = lines.select(*LINE).filter("raw_line is not null and file_no is not null").groupBy(*FILE).agg(F.min(data).alias("h"), F.max("line_no").alias("last"), F.max("received_at").alias("received_at")).filter("h is not null")
     line = F.col("h.raw_line")
     outside = F.regexp_replace(line, '"[^"]*"', "")
     counts = F.array(*[F.struct((F.length(outside) - F.length(F.replace(outside, F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
     by = F.array_max(counts)["d"]
-    return h.select(*FILE, "received_at", F.col("h.line_no").alias("header_no"), line.alias("header"), by.alias("delimiter"), F.transform(_split(line, by), _clean_name).alias("names"), F.floor(F.col("last") / PIECE).alias("pieces"))
+    x = h.select(*FILE, "received_at", F.col("h.line_no").alias("header_no"), line.alias("header"), by.alias("delimiter"), F.transform(_split(line, by), _clean_name).alias("names"), F.floor(F.col("last") / PIECE).alias("pieces"))
+    return x.withColumn("fields", F.filter(F.array_distinct("names"), lambda n: ~n.isin("", "date")))
 
 
-def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """(index_symbol, file_no, on_day, salt, name, value): a row per file, day and field; value null: missing.
+def schemas(lines: DataFrame) -> DataFrame:
+    """(index_symbol, file_no, received_at, header_no, header, delimiter, names, pieces, fields, was, new, gone, next_pairs).
 
-    salt spreads the days of a file over as many parts as the file has pieces.
+    One row a file: names by position, fields the distinct names of values; against the file before, `was` (its fields;
+    null: there is none), `new` and `gone`; and whether the next file has both new and gone names (next_pairs).
     """
-    h = heads.select(F.col("index_symbol").alias("_i"), F.col("file_no").alias("_f"), "header_no", "header", "delimiter", "names", "pieces", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")).alias("_p"))
+    heads = _headers(lines)
+    key = lambda shift, *more: heads.select(F.col("index_symbol").alias("_i"), (F.col("file_no") + shift).alias("_f"), *more)
+    same = lambda x, y: x.join(y, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")), "left").drop("_i", "_f")
+    x = same(heads, key(1, F.col("fields").alias("was")))
+    x = same(x, key(-1, F.col("fields").alias("_next")))
+    both = (F.size(F.array_except("_next", "fields")) > 0) & (F.size(F.array_except("fields", "_next")) > 0)
+    return x.withColumns({"new": F.array_except("fields", "was"), "gone": F.array_except("was", "fields"), "next_pairs": F.coalesce(both, F.lit(False))}).drop("_next")
+
+
+def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(index_symbol, on_day, file_no, r): of each file and day the first line, its cells in one row: r holds names, new,
+    gone, next_pairs and the values v by position."""
+    cols = ["header_no", "header", "delimiter", "names", "new", "gone", "next_pairs"]
     x = lines.select(*LINE).filter("raw_line is not null and file_no is not null and trim(raw_line) != '' and not startswith(ltrim(raw_line), '#')")
-    x = x.join(h, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")) & (F.floor(F.col("line_no") / PIECE) == F.col("_p"))).filter("line_no > header_no and raw_line != header")
+    h = heads.select(F.col("index_symbol").alias("_i"), F.col("file_no").alias("_f"), "pieces", *cols)
+    on = F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f"))
+    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        x = x.join(F.broadcast(h), on)
+    else:
+        h = h.withColumn("_p", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")))
+        x = x.join(h, on & (F.floor(F.col("line_no") / PIECE) == F.col("_p")))
+    x = x.filter("line_no > header_no and raw_line != header")
     x = x.withColumn("v", F.transform(_split(F.regexp_replace("raw_line", "[\r\n]+$", ""), F.col("delimiter")), _unquoted))
     day_at = F.array_position("names", F.lit("date"))
     x = x.withColumn("on_day", F.when(day_at > 0, F.get("v", (day_at - 1).cast("int")))).filter("on_day is not null and on_day != ''")
-    # of a day the first line: fields stay together, so that one small row per line is shuffled
-    keep = F.struct("line_no", F.col("names").alias("k"), F.col("v"))
-    x = x.groupBy(*FILE, "on_day", "pieces").agg(F.min(keep).alias("r"))
-    x = x.select(*FILE, "on_day", F.pmod(F.xxhash64("on_day"), F.col("pieces") + 1).alias("salt"), F.posexplode("r.k").alias("pos", "name"), F.col("r.v").alias("v"), F.col("r.k").alias("k"))
-    x = x.filter("name != 'date' and name != '' and array_position(k, name) = pos + 1").withColumn("value", F.get("v", F.col("pos")))
-    return x.select(*FILE, "on_day", "salt", "name", F.when(~F.col("value").isin(*MISSING), F.col("value")).alias("value"))
+    keep = F.struct("line_no", "names", "new", "gone", "next_pairs", "v")
+    return x.groupBy("index_symbol", "on_day", "file_no").agg(F.min(keep).alias("r"))
+
+
+def _value(names: Column, v: Column, name: Column) -> Column:
+    """The value of a name (its first column); null if it is missing."""
+    x = F.get(v, (F.array_position(names, name) - 1).cast("int"))
+    return F.when(~x.isin(*MISSING), x)
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """(index_symbol, on_day, file_no, name, value): a row per file, day and field; value null: missing."""
+    x = rows.select("index_symbol", "on_day", "file_no", F.explode(F.array_distinct("r.names")).alias("name"), "r").filter("name not in ('date', '')")
+    return x.select("index_symbol", "on_day", "file_no", "name", _value(F.col("r.names"), F.col("r.v"), F.col("name")).alias("value"))
 
 
 def kind_of(v: Column) -> Column:
@@ -105,57 +138,84 @@ def amount_of(v: Column) -> Column:
     return F.when(n.isNotNull(), F.struct(F.when(negative, -n).otherwise(n).alias("amount"), slack.alias("slack")))
 
 
-def unions(c: DataFrame) -> DataFrame:
-    """(index_symbol, file_no, name, alternatives, kind): the tagged union of each field of each file."""
-    k = kind_of(F.col("value"))
-    has = [F.max(F.coalesce(k == n, F.lit(False))).alias(n) for n in KINDS]
-    kind = F.when(F.col("text"), "text").when(F.col("decimal"), "decimal").when(F.col("integer"), "integer")
-    return c.groupBy(*FILE, "name").agg(*has).select(*FILE, "name", F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in KINDS])).alias("alternatives"), kind.alias("kind"))
-
-
-def _pairs(heads: DataFrame, c: DataFrame) -> DataFrame:
-    """(index_symbol, file_no, name, old): new names that hold the amounts of a gone one."""
-    n = heads.select(F.col("index_symbol").alias("i"), F.col("file_no").alias("f"), "names", "pieces")
-    prev = n.select(F.col("i").alias("pi"), (F.col("f") + 1).alias("pf"), F.col("names").alias("was"), F.col("pieces").alias("was_pieces"))
-    both = n.join(prev, F.col("i").eqNullSafe(F.col("pi")) & (F.col("f") == F.col("pf")))
-    moved = both.select("i", "f", "pieces", "was_pieces", F.array_except("names", "was").alias("new"), F.array_except("was", "names").alias("gone")).filter("size(new) > 0 and size(gone) > 0")
-    same = lambda x: F.col("index_symbol").eqNullSafe(F.col("i")) & (F.col("file_no") == F.col("f")) & (F.col("salt") == F.col("p")) & F.array_contains(x, F.col("name"))
-    spread = lambda x, n: moved.select("i", "f", x, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n))).alias("p"))
-    a = c.join(spread("new", "pieces"), same("new")).select("index_symbol", "file_no", "on_day", "name", amount_of(F.col("value")).alias("a"), F.col("value").alias("av"))
-    b = c.withColumn("file_no", F.col("file_no") + 1).join(spread("gone", "was_pieces"), same("gone"))
-    b = b.select(F.col("index_symbol").alias("bi"), F.col("file_no").alias("bf"), F.col("on_day").alias("bd"), F.col("name").alias("old"), amount_of(F.col("value")).alias("b"), F.col("value").alias("bv"))
-    x = a.join(b, F.col("index_symbol").eqNullSafe(F.col("bi")) & (F.col("file_no") == F.col("bf")) & (F.col("on_day") == F.col("bd")))
-    near = F.abs(F.col("a.amount") - F.col("b.amount")) <= F.col("a.slack") + F.col("b.slack") + 1e-9 * F.abs(F.col("a.amount"))
-    equal = F.when(F.col("av").isNull() | F.col("bv").isNull(), F.col("av").isNull() & F.col("bv").isNull()).when(F.col("a").isNull() | F.col("b").isNull(), F.col("av") == F.col("bv")).otherwise(near)
-    g = x.groupBy(*FILE, "name", "old").agg(F.min(equal).alias("all"), F.sum((equal & F.col("av").isNotNull()).cast("int")).alias("n")).filter("all and n > 0")
+def fused(rows: DataFrame) -> DataFrame:
+    """(index_symbol, file_no, kinds, pairs): one row a file.
+
+    kinds: of each field the tagged union as (name, alternatives, kind); pairs: new and gone names that hold the same
+    amounts on the days of both files, as (n, old, name) with the number of days. One partial aggregation for both.
+    """
+    prev = rows.filter("r.next_pairs").select(F.col("index_symbol").alias("_i"), F.col("on_day").alias("_d"), (F.col("file_no") + 1).alias("_f"), F.col("r.names").alias("was_names"), F.col("r.v").alias("was_v"))
+    x = rows.join(prev, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("on_day") == F.col("_d")) & (F.col("file_no") == F.col("_f")), "left")
+    names, v = F.col("r.names"), F.col("r.v")
+    none = F.lit(None).cast("string")
+    own = F.transform(F.filter(F.array_distinct(names), lambda n: ~n.isin("", "date")), lambda n: F.struct(n.alias("name"), none.alias("old"), _value(names, v, n).alias("a"), none.alias("b")))
+    pair = lambda n, o: F.struct(n.alias("name"), o.alias("old"), _value(names, v, n).alias("a"), _value(F.col("was_names"), F.col("was_v"), o).alias("b"))
+    paired = F.flatten(F.transform("r.new", lambda n: F.transform("r.gone", lambda o: pair(n, o))))
+    x = x.select(*FILE, F.explode(F.when(F.col("_f").isNotNull() & (F.size("r.new") > 0) & (F.size("r.gone") > 0), F.concat(own, paired)).otherwise(own)).alias("c")).select(*FILE, "c.*")
+    x = x.withColumns({"one": F.col("old").isNull(), "x": F.when(F.col("old").isNotNull(), amount_of(F.col("a"))), "y": F.when(F.col("old").isNotNull(), amount_of(F.col("b")))})
+    near = F.abs(F.col("x.amount") - F.col("y.amount")) <= F.col("x.slack") + F.col("y.slack") + 1e-9 * F.abs(F.col("x.amount"))
+    equal = F.when(F.col("a").isNull() | F.col("b").isNull(), F.col("a").isNull() & F.col("b").isNull()).when(F.col("x").isNull() | F.col("y").isNull(), F.col("a") == F.col("b")).otherwise(near)
+    kind = F.when(F.col("one"), kind_of(F.col("a")))
+    has = [F.max(F.coalesce(kind == n, F.lit(False))).alias(n) for n in KINDS]
+    g = x.groupBy(*FILE, "name", "old").agg(*has, F.min(F.when(~F.col("one"), equal)).alias("all"), F.sum((~F.col("one") & equal & F.col("a").isNotNull()).cast("int")).alias("n"))
+    union = F.struct("name", F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in KINDS])).alias("alternatives"), F.when(F.col("text"), "text").when(F.col("decimal"), "decimal").when(F.col("integer"), "integer").alias("kind"))
+    same = F.when(F.col("all") & (F.col("n") > 0), F.struct("n", "old", "name"))
+    # per file: bounded by its header
+    return g.groupBy(*FILE).agg(F.collect_list(F.when(F.col("old").isNull(), union)).alias("kinds"), F.collect_list(same).alias("pairs"))
+
+
+def _best(pairs: Column, tie: str) -> Column:
+    """The pair of the most days, ties by name."""
+    less = lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a[tie] < b[tie], -1).when(a[tie] > b[tie], 1).otherwise(0).cast("int")
+    return F.get(F.array_sort(pairs, less), F.lit(0))
+
+
+def changes(heads: DataFrame, rows: DataFrame) -> DataFrame:
+    """(index_symbol, file_no, field_name, drift, was_name, appearing): each file against the one before it.
+
+    heads: schemas(), rows: cells().
+    """
+    f = cut(fused(rows))  # a row a file
+    empty = F.array().cast(f.schema["kinds"].dataType)
+    key = lambda shift, *more: f.select(F.col("index_symbol").alias("_i"), (F.col("file_no") + shift).alias("_f"), *more)
+    same = lambda x, y: x.join(y, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")), "left").drop("_i", "_f")
+    x = same(heads.filter("was is not null").select(*FILE, "fields", "new", "gone"), key(0, "kinds", "pairs"))
+    x = same(x, key(1, F.col("kinds").alias("was_kinds")))
     # one old name for each new one and the other way round: most days first, then by name
-    g = g.withColumn("r", F.row_number().over(Window.partitionBy(*FILE, "name").orderBy(F.desc("n"), "old"))).filter("r = 1")
-    return g.withColumn("r", F.row_number().over(Window.partitionBy(*FILE, "old").orderBy(F.desc("n"), "name"))).filter("r = 1").select(*FILE, "name", "old")
-
-
-def changes(heads: DataFrame, c: DataFrame) -> DataFrame:
-    """(index_symbol, file_no, field_name, drift, was, now): each file against the one before it."""
-    u = unions(c)
-    names = heads.select(*FILE, F.explode(F.array_distinct("names")).alias("name")).filter("name not in ('', 'date')").alias("n").join(u.alias("u"), F.col("n.index_symbol").eqNullSafe(F.col("u.index_symbol")) & (F.col("n.file_no") == F.col("u.file_no")) & (F.col("n.name") == F.col("u.name")), "left").select("n.*", "kind", "alternatives")
-    names = cut(names)  # a few rows a file, used three times
-    first = heads.select(F.col("index_symbol").alias("hi"), F.col("file_no").alias("hf"))
-    now = names.join(first.withColumn("hf", F.col("hf") + 1), F.col("index_symbol").eqNullSafe(F.col("hi")) & (F.col("file_no") == F.col("hf")), "left_semi")
-    old = names.withColumn("file_no", F.col("file_no") + 1).join(first, F.col("index_symbol").eqNullSafe(F.col("hi")) & (F.col("file_no") == F.col("hf")), "left_semi")
-    r = cut(_pairs(heads, c))
-    now = now.alias("a").join(r.alias("r"), F.col("a.index_symbol").eqNullSafe(F.col("r.index_symbol")) & (F.col("a.file_no") == F.col("r.file_no")) & (F.col("a.name") == F.col("r.name")), "left").select("a.*", "old", F.coalesce("old", F.col("a.name")).alias("from"))
-    x = now.alias("x").join(old.alias("y"), F.col("x.index_symbol").eqNullSafe(F.col("y.index_symbol")) & (F.col("x.file_no") == F.col("y.file_no")) & (F.col("x.from") == F.col("y.name")), "full")
-    x = x.select(F.coalesce("x.index_symbol", "y.index_symbol").alias("index_symbol"), F.coalesce("x.file_no", "y.file_no").cast("long").alias("file_no"), F.coalesce("x.name", "y.name").alias("field_name"), "old", F.col("x.name").alias("new"), F.col("y.name").alias("prior"), F.col("x.kind").alias("k"), F.col("y.kind").alias("pk"), F.col("x.alternatives").alias("now"), F.col("y.alternatives").alias("was"))
-    drift = F.array_compact(F.array(F.when(F.col("old").isNotNull(), F.lit("renamed")), F.when(F.col("prior").isNull(), F.lit("added")), F.when(F.col("new").isNull(), F.lit("removed")), F.when(F.col("k") != F.col("pk"), F.lit("retyped"))))
-    return x.select("index_symbol", "file_no", "field_name", F.explode(drift).alias("drift"), F.col("prior").alias("was_name"), F.array_except("now", "was").alias("appearing"))
+    x = x.withColumn("pairs", F.array_compact(F.transform("new", lambda n: _best(F.filter("pairs", lambda p: p["name"] == n), "old"))))
+    x = x.withColumn("pairs", F.filter("pairs", lambda p: _best(F.filter("pairs", lambda q: q["old"] == p["old"]), "name")["name"] == p["name"]))
+    x = x.withColumns({"kinds": F.coalesce("kinds", empty), "was_kinds": F.coalesce("was_kinds", empty), "from": F.transform("pairs", lambda p: p["name"]), "to": F.transform("pairs", lambda p: p["old"])})
+    prior = lambda n: F.coalesce(F.get(F.filter("pairs", lambda p: p["name"] == n), F.lit(0))["old"], n)
+    kinds = lambda c, n: F.get(F.filter(c, lambda k: k["name"] == n), F.lit(0))
+    was = F.lit(None).cast("string")
+    item = lambda n, drift, old, seen: F.struct(n.alias("field_name"), F.lit(drift).alias("drift"), old.alias("was_name"), seen.alias("appearing"))
+    nothing = F.array().cast("array<string>")
+    seen = lambda n: F.array_except(kinds("kinds", n)["alternatives"], F.coalesce(kinds("was_kinds", prior(n))["alternatives"], nothing))
+    renamed = F.transform("pairs", lambda p: item(p["name"], "renamed", p["old"], seen(p["name"])))
+    added = F.transform(F.array_except("new", "from"), lambda n: item(n, "added", was, kinds("kinds", n)["alternatives"]))
+    removed = F.transform(F.array_except("gone", "to"), lambda n: item(n, "removed", n, nothing))
+    retyped = F.transform(F.filter("fields", lambda n: kinds("kinds", n)["kind"] != kinds("was_kinds", prior(n))["kind"]), lambda n: item(n, "retyped", prior(n), seen(n)))
+    return x.select("index_symbol", F.col("file_no").cast("long").alias("file_no"), F.inline(F.concat(renamed, added, removed, retyped)))
 
 
 def canonical_names(found: DataFrame) -> DataFrame:
-    """(name, canonical): names linked by any rename, as the smallest of them, by label propagation.
+    """(name, canonical): names linked by any rename, as the smallest of them.
 
-    It runs over the distinct pairs of names, a table of the size of the vocabulary of headers.
+    The distinct pairs of names are a table of the size of the vocabulary of headers: linked on the driver if they are
+    counted to be few, else by label propagation.
     """
     e = found.filter("drift = 'renamed'").select(F.col("was_name").alias("a"), F.col("field_name").alias("b")).distinct()
     e = cut(e.union(e.select("b", "a")).distinct())
+    few = e.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        label: dict[str, str] = {r.a: r.a for r in few}
+        moved = True
+        while moved:
+            moved = False
+            for r in few:
+                if label[r.b] < label[r.a]:
+                    label[r.a], moved = label[r.b], True
+        return found.sparkSession.createDataFrame(sorted(label.items()), "name string, canonical string")
     lab = cut(e.select(F.col("a").alias("name")).distinct().withColumn("canonical", F.col("name")))
     while True:
         near = e.join(lab, e.b == lab.name).groupBy("a").agg(F.min("canonical").alias("m"))
@@ -165,30 +225,35 @@ def canonical_names(found: DataFrame) -> DataFrame:
             return lab
 
 
-def one_table(c: DataFrame, found: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def one_table(rows: DataFrame, found: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(index_symbol, on_day, file_no, fields): one row per index and day; file_no: the latest file that holds the day.
 
-    fields maps each canonical name to its union: the branch as_integer, as_decimal or as_text holds the value in
-    its own type, amount the canonical number. A field comes from the latest file that has a value for it on the day
+    fields maps each canonical name to its union: the branch as_integer, as_decimal or as_text holds the value in its
+    own type, amount the canonical number. A field comes from the latest file that has a value for it on the day
     (from_file), so what a newer file lacks or holds as missing stays as the older one has it. A field missing in all
-    files of the day has no branch. Two names of one file that are one canonical field stay apart, under their names.
+    files of the day has no branch. Names of one file that are one canonical field stay apart on its days, under their
+    own names; so no row has a name twice. rows: cells().
     """
     names = canonical_names(found) if names is None else names
     v, k = F.col("value"), kind_of(F.col("value"))
-    branch = F.struct(
+    x = exploded(rows).join(maybe_broadcast(names), "name", "left").withColumn("canonical", F.coalesce("canonical", "name"))
+    # per index, day and field the names in use, each with its latest value: one name, but for renames on the day
+    keys = ["index_symbol", "on_day"]
+    latest = F.max(F.struct(v.isNotNull().alias("has"), F.col("file_no").alias("from_file"), v)).alias("r")
+    named = x.groupBy(*keys, "canonical", "name").agg(latest, F.collect_set("file_no").alias("files"), F.max("file_no").alias("file_no"))
+    each = F.struct("r.has", "r.from_file", "name", "r.value")
+    one = named.groupBy(*keys, "canonical").agg(F.collect_list(each).alias("each"), F.flatten(F.collect_list("files")).alias("files"), F.max("file_no").alias("file_no"))
+    apart = F.size("files") > F.size(F.array_distinct("files"))
+    cell = lambda field, e: F.struct(field.alias("field"), e["from_file"].cast("long").alias("from_file"), e["name"].alias("name"), e["value"].alias("value"))
+    one = one.select(*keys, "file_no", F.inline(F.when(apart, F.transform("each", lambda e: cell(e["name"], e))).otherwise(F.array(cell(F.col("canonical"), F.array_max("each"))))))
+    union = F.struct(
+        "from_file",
         F.col("name").alias("written_as"),
         F.when(k == "integer", v.try_cast("long")).alias("as_integer"),
         F.when(k == "decimal", v.try_cast("double")).alias("as_decimal"),
         F.when(k == "text", v).alias("as_text"),
         amount_of(v)["amount"].alias("amount"),
     )
-    x = c.join(names, "name", "left").withColumn("canonical", F.coalesce("canonical", "name")).withColumn("has", v.isNotNull())
-    # per index, day and field the names in use, each with its latest value: one name, but for renames on the day
-    keys = ["index_symbol", "on_day"]
-    named = x.groupBy(*keys, "canonical", "name").agg(F.max(F.struct("has", F.col("file_no").alias("from_file"), branch.alias("union"))).alias("r"), F.collect_set("file_no").alias("files"), F.max("file_no").alias("file_no"))
-    one = named.groupBy(*keys, "canonical").agg(F.max("r").alias("r"), F.collect_list(F.struct("name", "r")).alias("each"), F.flatten(F.collect_list("files")).alias("files"), F.max("file_no").alias("file_no"))
-    apart = F.size("files") > F.size(F.array_distinct("files"))
-    cell = lambda name, r: F.struct(name.alias("field"), F.struct(r["from_file"].cast("long").alias("from_file"), r["union"]["written_as"].alias("written_as"), *[r["union"][b].alias(b) for b in ("as_integer", "as_decimal", "as_text", "amount")]).alias("union"))
-    cells_ = F.when(apart, F.transform("each", lambda e: cell(e["name"], e["r"]))).otherwise(F.array(cell(F.col("canonical"), F.col("r"))))
-    rows = one.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list(cells_))).alias("f"), F.max("file_no").alias("file_no"))  # a row's fields: bounded by the headers of the day's files
-    return rows.select(*keys, F.col("file_no").cast("long").alias("file_no"), F.map_from_entries("f").alias("fields"))
+    # a row's fields: bounded by the headers of the day's files
+    whole = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("field", union.alias("union")))).alias("f"), F.max("file_no").alias("file_no"))
+    return whole.select(*keys, F.col("file_no").cast("long").alias("file_no"), F.map_from_entries("f").alias("fields"))

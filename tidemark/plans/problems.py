@@ -81,7 +81,7 @@ def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
 def _files(spark: SparkSession, d: str):
     lines = table(spark, d, "unused_data").unionByName(table(spark, d, "final_data"))
     heads = cut(schema_drift.schemas(lines))  # a row a file
-    return heads, cut(schema_drift.cells(lines, heads))
+    return heads, schema_drift.cells(lines, heads)
 
 
 @query
@@ -92,9 +92,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     heads, c = _files(spark, d)
+    c = cut(c)
     return schema_drift.one_table(c, cut(schema_drift.changes(heads, c)))
 
 
+@query
+def p4_cells(spark: SparkSession, d: str) -> DataFrame:
+    """p4_table with a row per field."""
+    x = p4_table(spark, d).select("index_symbol", "on_day", "file_no", F.explode("fields").alias("field_name", "u"))
+    return x.select("index_symbol", "on_day", "file_no", "field_name", "u.*")
+
+
 def _grids(spark: SparkSession, d: str) -> DataFrame:
     macro, sent = table(spark, d, "macro"), table(spark, d, "sentiment")
     m = regular_grid.fill_grid(regular_grid.last_of_day(macro, "symbol", epoch_us(macro, "date"), "close", "reading_id"), "source", "on_day", "value", weekdays_only=True)
@@ -214,3 +222,17 @@ select i as index_symbol, f as file_no, name as field_name, 'renamed' as drift f
 union all select i, f, name, 'added' from fresh where not exists (select 1 from ren where ren.i = fresh.i and ren.f = fresh.f and ren.name = fresh.name)
 union all select i, f, name, 'removed' from gone where not exists (select 1 from ren where ren.i = gone.i and ren.f = gone.f and ren.old = gone.name)
 union all select a.i, a.f, a.name, 'retyped' from nm a left join ren on ren.i = a.i and ren.f = a.f and ren.name = a.name join nm b on b.i = a.i and b.f = a.f - 1 and b.name = coalesce(ren.old, a.name) where a.kind <> b.kind"""
+# the same tables as for the changes, then the names that renames link, and of each day and field the latest value
+SQL["p4_cells"] = (
+    SQL["p4_found"].split("\nselect i as index_symbol")[0].replace("with lines", "with recursive lines", 1)
+    + """,
+e as (select old as a, name as b from ren union select name, old from ren),
+reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+canon as (select a as name, min(b) as canonical from reach group by 1),
+cc as (select i, f, day, c.name, val, amt, coalesce(canonical, c.name) as field, max(f) over (partition by i, day) as last_file from c left join canon on canon.name = c.name),
+clash as (select distinct i, day, field from (select i, f, day, field from cc group by all having count(*) > 1)),
+x as (select cc.*, case when exists (select 1 from clash k where k.i is not distinct from cc.i and k.day = cc.day and k.field = cc.field) then name else field end as field_name from cc),
+m as (select i, day, last_file, field_name, max(struct_pack(has := val is not null, f := f, name := name, val := val, amt := amt)) as r from x group by all)
+select i as index_symbol, day as on_day, last_file as file_no, field_name, r.f as from_file, r.name as written_as, case when regexp_matches(r.val, '^-?[0-9]+$') then try_cast(r.val as bigint) end as as_integer,
+case when regexp_matches(r.val, '^-?[0-9]+[.]?[0-9]*$') and not regexp_matches(r.val, '^-?[0-9]+$') then try_cast(r.val as double) end as as_decimal, case when not regexp_matches(r.val, '^-?[0-9]+[.]?[0-9]*$') then r.val end as as_text, r.amt as amount from m"""
+)
