@@ -73,7 +73,7 @@ def schemas(lines: DataFrame) -> DataFrame:
     One row a file: names by position, fields the distinct names of values; against the file before, `was` (its fields;
     null: there is none), `new` and `gone`; and whether the next file has both new and gone names (next_pairs).
     """
-    heads = _headers(lines)
+    heads = cut(_headers(lines))  # used three times
     key = lambda shift, *more: heads.select(F.col("index_symbol").alias("_i"), (F.col("file_no") + shift).alias("_f"), *more)
     same = lambda x, y: x.join(y, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("file_no") == F.col("_f")), "left").drop("_i", "_f")
     x = same(heads, key(1, F.col("fields").alias("was")))

@@ -29,7 +29,6 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     file is the era of the index's file that the score comes from (else of the row's latest file): scales differ by it.
     """
     heads, c = problems._files(spark, d)
-    c = cut(c)
     found = cut(schema_drift.changes(heads, c))
     names = cut(schema_drift.canonical_names(found))
     known = {n: n for v in FIELDS.values() for n in v} | {r.name: r.canonical for r in names.filter(F.col("name").isin(*[n for v in FIELDS.values() for n in v])).collect()}  # the names of FIELDS

@@ -81,7 +81,7 @@ def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
 def _files(spark: SparkSession, d: str):
     lines = table(spark, d, "unused_data").unionByName(table(spark, d, "final_data"))
     heads = cut(schema_drift.schemas(lines))  # a row a file
-    return heads, schema_drift.cells(lines, heads)
+    return heads, cut(schema_drift.cells(lines, heads))  # a row a file and day, used twice
 
 
 @query
@@ -92,7 +92,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     heads, c = _files(spark, d)
-    c = cut(c)
     return schema_drift.one_table(c, cut(schema_drift.changes(heads, c)))
 
 
