@@ -49,6 +49,36 @@ def test_cuts_prefer_natural_boundaries(spark, enc):
     assert all(text[r.end : r.end + 2] == "\n\n" for r in rows if r.end < len(text))
 
 
+@pytest.mark.parametrize("size", [700, 5000])
+def test_files_by_byte_ranges(spark, enc, size, tmp_path):
+    """The same from files that are read by offset; characters reach over the edges of ranges."""
+    t = [x for x in samples() if x]
+    for i, x in enumerate(t):
+        (tmp_path / f"{i}.txt").write_bytes(x.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    by = {}
+    for r in splitting.split_files(spark, f"{tmp_path}/*.txt", size=size).collect():
+        by.setdefault(int(r.doc_id.split("/")[-1][:-4]), []).append(r)
+    assert set(by) == {i for i, x in enumerate(t) if len(enc.encode_ordinary(x)) > splitting.LIMIT}
+    for i, rows in by.items():
+        rows.sort(key=lambda r: r.piece_no)
+        assert [r.piece_no for r in rows] == list(range(len(rows))) and rows[0].start == 0 and rows[-1].end == len(t[i])
+        assert all(r.text == t[i][r.start : r.end] and r.n_tokens == len(enc.encode_ordinary(r.text)) <= splitting.LIMIT for r in rows)
+        assert all(a.start < b.start <= a.end < b.end for a, b in zip(rows, rows[1:]))
+
+
+def test_ranges_take_time_in_proportion_to_the_text(spark):
+    import time
+
+    took = []
+    for n in (1, 1, 8):  # the first run warms up
+        df = frame(spark, ["word " * 800_000 * n])
+        at = time.perf_counter()
+        assert splitting.text_ranges(df, 1024, "doc_id", "text", splitting.RANGE).count() == -(-4_000_000 * n // splitting.RANGE)
+        took.append(time.perf_counter() - at)
+    assert took[2] < 16 * took[1]
+
+
 def test_empty(spark, enc):
     assert splitting.split(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
