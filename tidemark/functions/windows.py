@@ -91,7 +91,10 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def roll_rank(c, k: int, least: int | None = None) -> Column:
-    """Percentile rank of the newest value within the window; ties share their mean rank."""
+    """Percentile rank of the newest value within the window; ties share their mean rank.
+
+    An expression, at the cost of a list of k values a row; by_symbol has it for whole frames.
+    """
     c = _c(c)
     h = F.collect_list(c).over(frame(k))
     below, same = F.size(F.filter(h, lambda v: v < c)), F.size(F.filter(h, lambda v: v == c))
@@ -133,32 +136,39 @@ def sequences(df: DataFrame, columns: list[str], k: int = 20) -> DataFrame:
     return df.withColumn("sequence", F.collect_list(F.array(*[F.col(c).cast("float") for c in columns])).over(by().rowsBetween(-k, -1))).filter(F.size("sequence") == k)
 
 
-def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float, int]], order: str = "date") -> DataFrame:
-    """Adds exponentially weighted means (recursive form): specs of (new column, column, alpha, least values).
+def by_symbol(df: DataFrame, ewms: Iterable[tuple] = (), ranks: Iterable[tuple[str, str, int, int]] = (), order: str = "date") -> DataFrame:
+    """Adds recurrences that window expressions lack, all in one Arrow pass over each symbol's rows.
 
-    The first value seeds the mean; it appears once `least` values were seen; a null leaves a gap, and the weight of
-    the past decays over it. One Arrow group per symbol, of the size of its calendar.
+    ewms: (new column, column, alpha, least values), exponentially weighted means in the recursive form. The first value
+    seeds the mean; it appears once `least` values were seen; a null leaves a gap, and the weight of the past decays over
+    it. A pair of columns in place of one is their difference, and may name new columns before it.
+    ranks: (new column, column, rows, least values), the percentile rank of the newest value within a window, as
+    roll_rank, by a sorted window that is kept from row to row.
+    A group is one symbol's calendar.
     """
-    specs = [(n, c, float(a), int(m)) for n, c, a, m in specs]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n, *_ in specs])
+    ewms, ranks = [(n, c, float(a), int(m)) for n, c, a, m in ewms], [(n, c, int(k), int(m)) for n, c, k, m in ranks]
+    new = [n for n, *_ in (*ewms, *ranks)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n in new])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        for name, column, alpha, least in specs:
-            out, mean, w, seen = np.full(len(pdf), np.nan), 0.0, 1.0, 0
-            for i, v in enumerate(pdf[column].to_numpy("float64", na_value=np.nan).tolist()):
-                if v != v:
-                    w *= 1 - alpha
-                else:
-                    if seen:
-                        old = w * (1 - alpha)
-                        mean = (old * mean + alpha * v) / (old + alpha)
-                    else:
-                        mean = v
-                    w, seen = 1.0, seen + 1
-                if seen >= least and seen:
-                    out[i] = mean
-            pdf[name] = pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None)
-        return pdf
+        got: dict[str, pd.Series] = {}
+
+        def column(c) -> pd.Series:
+            if isinstance(c, tuple):
+                return column(c[0]) - column(c[1])
+            return got[c] if c in got else pd.Series(pdf[c].to_numpy("float64", na_value=np.nan), index=pdf.index)
+
+        for n, c, alpha, least in ewms:
+            got[n] = column(c).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        for n, c, k, least in ranks:
+            got[n] = column(c).rolling(k, min_periods=least).rank(pct=True)
+        missing = {n: v.astype(object).where(v.notna(), None) for n, v in got.items()}
+        return pdf.assign(**missing)
 
     return df.groupBy("symbol").applyInPandas(run, schema)
+
+
+def ewm(df: DataFrame, specs: Iterable[tuple], order: str = "date") -> DataFrame:
+    """by_symbol with exponentially weighted means only."""
+    return by_symbol(df, specs, order=order)

@@ -23,27 +23,27 @@ def _div(a, b) -> Column:
 
 
 def technical(bars: DataFrame, horizon: int = 5, market: DataFrame | None = None) -> DataFrame:
-    """Returns, momentum, volatility, strength index, moving-average divergence, bands, true range, and the targets."""
-    x = bars.withColumns({"log_return_1d": w.log_return("close"), "_prev": w.lag("close"), "_delta": w.diff("close"), "bb_mid": w.roll_mean("close", 20), "_bb": w.roll_std("close", 20), "log_return_5d": F.ln(F.try_divide(w.lag("close", -horizon), F.col("close")))})
-    x = x.withColumns({f"momentum_{k}d": w.pct_change("close", k) for k in (5, 10, 20)} | {f"volatility_{k}d": w.roll_std("log_return_1d", k) * YEAR for k in (10, 20, 30)})
-    x = x.withColumns({"_gain": clip("_delta", lo=0.0), "_loss": -clip("_delta", hi=0.0), "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev")))})
-    x = w.ewm(x, [("_g", "_gain", 1 / 14, 14), ("_l", "_loss", 1 / 14, 14), ("_fast", "close", 2 / 13, 1), ("_slow", "close", 2 / 27, 1), ("_atr", "_tr", 2 / 15, 1)])
+    """Returns, momentum, volatility, strength index, moving-average divergence, bands, true range, and the targets.
+
+    Windows and the recurrences share one shuffle by symbol.
+    """
+    x = bars if market is None else panel.align(bars, market, "close", "_market")
+    x = x.withColumns({"log_return_1d": w.log_return("close"), "_prev": w.lag("close"), "_delta": w.diff("close"), "bb_mid": w.roll_mean("close", 20), "_bb": w.roll_std("close", 20), "log_return_5d": F.ln(F.try_divide(w.lag("close", -horizon), F.col("close")))})
+    excess = F.col("log_return_5d") if market is None else F.col("log_return_5d") - F.ln(F.try_divide(w.lag("_market", -horizon), F.col("_market")))
+    x = x.withColumns({f"momentum_{k}d": w.pct_change("close", k) for k in (5, 10, 20)} | {f"volatility_{k}d": w.roll_std("log_return_1d", k) * YEAR for k in (10, 20, 30)} | {"excess_return_5d": excess})
+    x = x.withColumns({"_gain": clip("_delta", lo=0.0), "_loss": -clip("_delta", hi=0.0), "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev")))}).drop("_prev", "_delta", "_market")
+    x = w.by_symbol(x, [("_g", "_gain", 1 / 14, 14), ("_l", "_loss", 1 / 14, 14), ("_fast", "close", 2 / 13, 1), ("_slow", "close", 2 / 27, 1), ("_atr", "_tr", 2 / 15, 1), ("_signal", ("_fast", "_slow"), 2 / 10, 1)])
     x = x.withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    x = w.ewm(x, [("_signal", "_macd", 2 / 10, 1)])
     close, mid, up, low = F.col("close"), F.col("bb_mid"), F.col("bb_mid") + 2 * F.col("_bb"), F.col("bb_mid") - 2 * F.col("_bb")
     x = x.withColumns({
         "rsi_14": 100 - _div(F.lit(100.0), 1 + _div(F.col("_g"), F.col("_l"))), "macd": F.try_divide("_macd", close), "macd_signal": F.try_divide("_signal", close), "macd_hist": F.try_divide(F.col("_macd") - F.col("_signal"), close),
         "bb_upper": F.try_divide(up, close), "bb_lower": F.try_divide(low, close), "bb_width": _div(up - low, mid), "bb_pct": _div(close - low, up - low), "atr_14": _div(F.col("_atr"), close),
     })
     x = x.withColumn("bb_mid", F.try_divide("bb_mid", close))
-    if market is not None:
-        x = panel.align(x, market, "close", "_market")
-        x = x.withColumn("excess_return_5d", F.col("log_return_5d") - F.ln(F.try_divide(w.lag("_market", -horizon), F.col("_market"))))
-    else:
-        x = x.withColumn("excess_return_5d", F.col("log_return_5d"))
     return x.drop(*[c for c in x.columns if c.startswith("_")])
 
 
+#: The names of the features of each family.
 TECHNICAL = ["log_return_1d", "momentum_5d", "momentum_10d", "momentum_20d", "volatility_10d", "volatility_20d", "volatility_30d", "rsi_14", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_mid", "bb_width", "bb_pct", "atr_14"]
 
 
@@ -100,6 +100,11 @@ def daily_news(items: DataFrame, text: str = "headline", score: Column | None =
 
 def sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None = None) -> DataFrame:
     """Volume, market-relative, sector-relative and volatility-regime features."""
+    return w.by_symbol(_sector(bars, market, sector_close), ranks=[("vol_percentile", "_vol20", 252, 252)]).select("symbol", "date", *SECTOR)
+
+
+def _sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None) -> DataFrame:
+    """All of sector but the ranks."""
     # returns of the market and the sector are taken on their own calendars (one row a day), then aligned
     days = Window.partitionBy(F.lit(1)).orderBy("date")
     own = lambda m: m.withColumn("ret", F.ln(F.try_divide("close", F.lag("close").over(days))))
@@ -114,7 +119,7 @@ def sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None =
         F.when(F.col("_v5") > 0, F.try_divide("_slope", "_v5")).when(F.col("_v5").isNotNull(), 0.0).alias("volume_trend_5d"), _div(F.col("_obv10"), F.col("_v10")).alias("obv_momentum_10d"),
         clip("_beta", -3.0, 3.0).alias("rolling_beta"), *[(F.col(f"_r{k}") - F.col("_beta") * F.col(f"_mr{k}")).alias(f"idiosyncratic_momentum_{k}d") for k in (5, 20)],
         *[(F.col(f"_r{k}") - F.col(f"_sr{k}")).alias(f"sector_rel_momentum_{k}d") for k in (5, 20)], flag(F.col("_vol20") > F.col("_vol60")).alias("vol_regime"),
-        w.roll_std("_vol20", 20).alias("vol_of_vol"), w.roll_rank("_vol20", 252).alias("vol_percentile"),
+        w.roll_std("_vol20", 20).alias("vol_of_vol"), "_vol20",
     )
 
 
@@ -140,7 +145,15 @@ def implied_volatility_proxy(bars: DataFrame, vix: DataFrame) -> DataFrame:
     x = x.withColumn("_beta", clip(w.roll_beta("_dr", "_dx", 60), 0.5, 3.0))
     x = x.withColumn("iv_30d", F.coalesce(F.col("_x") * F.col("_beta"), "_rv20"))
     x = x.withColumn("iv_60d", w.roll_mean("iv_30d", 5))
-    out = {"iv_30d": F.col("iv_30d"), "iv_60d": F.col("iv_60d"), "iv_rv_spread_20": F.col("iv_30d") - F.col("_rv20"), "iv_rv_spread_30": F.col("iv_30d") - F.col("_rv30"), "iv_percentile_252": w.roll_rank("iv_30d", 252), "iv_change_5d": w.diff("iv_30d", 5), "iv_term_structure": F.col("iv_60d") - F.col("iv_30d")}
+    return _options(w.by_symbol(_implied(x), ranks=[("_rank", "iv_30d", 252, 252)]))
+
+
+def _implied(x: DataFrame) -> DataFrame:
+    return x.withColumn("_change", w.diff("iv_30d", 5)).select("symbol", "date", "iv_30d", "iv_60d", "_rv20", "_rv30", "_change")
+
+
+def _options(x: DataFrame) -> DataFrame:
+    out = {"iv_30d": F.col("iv_30d"), "iv_60d": F.col("iv_60d"), "iv_rv_spread_20": F.col("iv_30d") - F.col("_rv20"), "iv_rv_spread_30": F.col("iv_30d") - F.col("_rv30"), "iv_percentile_252": F.col("_rank"), "iv_change_5d": F.col("_change"), "iv_term_structure": F.col("iv_60d") - F.col("iv_30d")}
     return x.select("symbol", "date", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()])
 
 
@@ -172,7 +185,8 @@ def fundamentals(rows: DataFrame) -> DataFrame:
     s = F.coalesce("sentiment_score", F.lit(0.0))
     x = rows.withColumn("_s", s).withColumn("precomputed_sentiment", clip((F.col("_s") - F.avg("_s").over(per)) / (F.stddev_samp("_s").over(per) + 1e-8), -3.0, 3.0) / 3)
     x = x.withColumnsRenamed({"pe": "pe_ratio", "pb": "pb_ratio", "vix": "india_vix"})
-    x = x.withColumns({"pe_change_1d": w.diff("pe_ratio"), "pb_change_1d": w.diff("pb_ratio"), "vix_change_1d": w.diff("india_vix"), "vix_change_5d": w.diff("india_vix", 5), "vix_ma_5": w.roll_mean("india_vix", 5, 1), "vix_ma_10": w.roll_mean("india_vix", 10, 1), "pe_ma_10": w.roll_mean("pe_ratio", 10, 1), "pb_ma_10": w.roll_mean("pb_ratio", 10, 1), "vix_percentile": w.roll_rank("india_vix", 252, 60), "pe_percentile": w.roll_rank("pe_ratio", 252, 60), "pb_percentile": w.roll_rank("pb_ratio", 252, 60), "pe_regime": flag(F.col("pe_ratio") > w.roll_mean("pe_ratio", 60, 20)), "vix_regime": flag(F.col("india_vix") > w.roll_mean("india_vix", 60, 20)), "vix_crisis": flag(F.col("india_vix") > 30), "market_expensive": flag(F.col("pe_ratio") > 25), "market_cheap": flag(F.col("pe_ratio") < 15)})
+    x = x.withColumns({"pe_change_1d": w.diff("pe_ratio"), "pb_change_1d": w.diff("pb_ratio"), "vix_change_1d": w.diff("india_vix"), "vix_change_5d": w.diff("india_vix", 5), "vix_ma_5": w.roll_mean("india_vix", 5, 1), "vix_ma_10": w.roll_mean("india_vix", 10, 1), "pe_ma_10": w.roll_mean("pe_ratio", 10, 1), "pb_ma_10": w.roll_mean("pb_ratio", 10, 1), "pe_regime": flag(F.col("pe_ratio") > w.roll_mean("pe_ratio", 60, 20)), "vix_regime": flag(F.col("india_vix") > w.roll_mean("india_vix", 60, 20)), "vix_crisis": flag(F.col("india_vix") > 30), "market_expensive": flag(F.col("pe_ratio") > 25), "market_cheap": flag(F.col("pe_ratio") < 15)})
+    x = w.by_symbol(x.select("symbol", "date", *[c for c in FUNDAMENTAL if c in x.columns]), ranks=[("vix_percentile", "india_vix", 252, 60), ("pe_percentile", "pe_ratio", 252, 60), ("pb_percentile", "pb_ratio", 252, 60)])
     x = x.withColumn("pe_vix_danger", F.col("pe_percentile") * F.col("vix_percentile"))
     return x.select("symbol", "date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FUNDAMENTAL])
 

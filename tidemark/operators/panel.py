@@ -39,8 +39,11 @@ def market(panel: DataFrame) -> DataFrame:
 
 
 def align(calendar: DataFrame, series: DataFrame, column: str, name: str) -> DataFrame:
-    """The series (date, column) on each symbol's own calendar, carried forward; values on other days are lost."""
-    x = calendar.join(series.select("date", F.col(column).alias(name)), "date", "left")
+    """The series (date, column) on each symbol's own calendar, carried forward; values on other days are lost.
+
+    The series has one row a day, so it is broadcast: its size is that of the calendar.
+    """
+    x = calendar.join(F.broadcast(series.select("date", F.col(column).alias(name))), "date", "left")
     return x.withColumn(name, F.last(name, True).over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
 
 

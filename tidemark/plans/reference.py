@@ -291,7 +291,7 @@ def win_rolling(spark, d):
 
 @query(f"with {BARS} select symbol, {DAY}, {s6(rank_sql('close', 252, 60), 'rank_252')}, {s6(rank_sql('close', 20), 'rank_20')} from bars")
 def win_percentile_rank(spark, d):
-    return out(pipeline.views(spark, d)["bars"].withColumns({"rank_252": w.roll_rank("close", 252, 60), "rank_20": w.roll_rank("close", 20)}), "rank_252", "rank_20")
+    return out(w.by_symbol(pipeline.views(spark, d)["bars"].select("symbol", "date", "close"), ranks=[("rank_252", "close", 252, 60), ("rank_20", "close", 20, 20)]), "rank_252", "rank_20")
 
 
 def ewm_sql(base: str, col: str, alpha: float, first: int, name: str, least: int = 1) -> str:
@@ -302,7 +302,7 @@ from {base} t join {base} s on s.symbol = t.symbol and s.rn <= t.rn and s.rn >=
 
 @query(f"with {BARS}, x as (select *, row_number() over ({P}) as rn from bars), {ewm_sql('x', 'close', 2 / 13, 1, 'a')}, {ewm_sql('x', 'close', 1 / 14, 1, 'b', 14)} select a.symbol, strftime(a.date, '%Y-%m-%d') as date, {s6('a.v', 'span_12')}, {s6('b.v', 'wilder_14')} from a left join b on a.symbol = b.symbol and a.date = b.date")
 def win_ewm(spark, d):
-    return out(w.ewm(pipeline.views(spark, d)["bars"], [("span_12", "close", 2 / 13, 1), ("wilder_14", "close", 1 / 14, 14)]), "span_12", "wilder_14")
+    return out(w.ewm(pipeline.views(spark, d)["bars"].select("symbol", "date", "close"), [("span_12", "close", 2 / 13, 1), ("wilder_14", "close", 1 / 14, 14)]), "span_12", "wilder_14")
 
 
 @query(f"with {_RETURNS}, x as (select *, {DIV('close', LAG('close'))} - 1 as ret from bars), c as (select *, case when ret is not null then sum(ret) over ({P} rows unbounded preceding) end as total, product(1 + coalesce(ret, 0)) over ({P} rows unbounded preceding) as growth from x) select symbol, {DAY}, {s6('total', 'total')}, {s6('growth', 'growth')}, {s6(f'max(growth) over ({P} rows unbounded preceding)', 'peak')} from c")
