@@ -690,9 +690,20 @@ def ml_ensemble(spark, d):
     return models.Ensemble(features.ALL, "log_return_5d").fit(x).predict(x)
 
 
-@query()
+# the families' SQL joined as the matrix joins them, with the configured series in the parts
+_PART = f"mac as (select case symbol {' '.join(f"""when '{v}' then '{k}'""" for k, v in pipeline.ROLE_SYMBOLS.items())} end as symbol, date, close from mall where symbol in ({', '.join(repr(v) for v in pipeline.ROLE_SYMBOLS.values())}))"
+_PARTS = {n: f"({SQL[n].replace(MACRO, _SERIES + ',' + chr(10) + _PART)})" for n in ("feat_technical", "feat_sector", "feat_earnings", "feat_options_proxy", "feat_sentiment", "feat_macro")}
+_OUT = ["log_return_5d", "excess_return_5d", *features.ALL]
+# half of a level with four decimals lies on halves of the seventh place, so the options' columns are given to eight
+_PARTS["feat_options_proxy"] = _PARTS["feat_options_proxy"].replace("::double, 6)", "::double, 8)")
+
+
+@query(
+    f"with x as (select t.*, {', '.join(f's.{c}' for c in features.SECTOR)}, {', '.join(f'e.{c}' for c in features.EARNINGS)}, {', '.join(f'o.{c}' for c in features.OPTIONS)}, {', '.join(f'n.{c}' for c in features.SENTIMENT)}, {', '.join(f'm.{c}' for c in features.MACRO)} from {_PARTS['feat_technical']} t left join {_PARTS['feat_sector']} s on s.symbol = t.symbol and s.date = t.date left join {_PARTS['feat_earnings']} e on e.symbol = t.symbol and e.date = t.date left join {_PARTS['feat_options_proxy']} o on o.symbol = t.symbol and o.date = t.date left join {_PARTS['feat_sentiment']} n on n.symbol = t.symbol and n.date = t.date left join {_PARTS['feat_macro']} m on m.date = t.date) select symbol, date, {', '.join(f'last_value({c} ignore nulls) over ({P} rows 5 preceding) as {c}' if c in (*features.MACRO, *features.SENTIMENT) else c for c in _OUT)} from x"
+)
 def pipe_matrix(spark, d):
-    return pipeline.matrix(spark, d)
+    x = pipeline.matrix(spark, d)
+    return x.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), *[(F.round(c, 8) + F.lit(0.0)).alias(c) if c in features.OPTIONS else r6(c) for c in _OUT])
 
 
 @query()
