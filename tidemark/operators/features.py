@@ -22,27 +22,38 @@ def _div(a, b) -> Column:
     return F.try_divide(a, F.nullif(b, F.lit(0.0)))
 
 
-def technical(bars: DataFrame, horizon: int = 5, market: DataFrame | None = None) -> DataFrame:
-    """Returns, momentum, volatility, strength index, moving-average divergence, bands, true range, and the targets.
-
-    Windows and the recurrences share one shuffle by symbol.
-    """
+def _technical_windows(bars: DataFrame, horizon: int, market: DataFrame | None) -> DataFrame:
     x = bars if market is None else panel.align(bars, market, "close", "_market")
     x = x.withColumns({"log_return_1d": w.log_return("close"), "_prev": w.lag("close"), "_delta": w.diff("close"), "bb_mid": w.roll_mean("close", 20), "_bb": w.roll_std("close", 20), "log_return_5d": F.ln(F.try_divide(w.lag("close", -horizon), F.col("close")))})
     excess = F.col("log_return_5d") if market is None else F.col("log_return_5d") - F.ln(F.try_divide(w.lag("_market", -horizon), F.col("_market")))
     x = x.withColumns({f"momentum_{k}d": w.pct_change("close", k) for k in (5, 10, 20)} | {f"volatility_{k}d": w.roll_std("log_return_1d", k) * YEAR for k in (10, 20, 30)} | {"excess_return_5d": excess})
-    x = x.withColumns({"_gain": clip("_delta", lo=0.0), "_loss": -clip("_delta", hi=0.0), "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev")))}).drop("_prev", "_delta", "_market")
-    x = w.by_symbol(x, [("_g", "_gain", 1 / 14, 14), ("_l", "_loss", 1 / 14, 14), ("_fast", "close", 2 / 13, 1), ("_slow", "close", 2 / 27, 1), ("_atr", "_tr", 2 / 15, 1), ("_signal", ("_fast", "_slow"), 2 / 10, 1)])
-    x = x.withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    close, mid, up, low = F.col("close"), F.col("bb_mid"), F.col("bb_mid") + 2 * F.col("_bb"), F.col("bb_mid") - 2 * F.col("_bb")
+    return x.withColumns({"_gain": clip("_delta", lo=0.0), "_loss": -clip("_delta", hi=0.0), "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev")))}).drop("_prev", "_delta", "_market")
+
+
+_MEANS = [("_g", "_gain", 1 / 14, 14), ("_l", "_loss", 1 / 14, 14), ("_fast", "close", 2 / 13, 1), ("_slow", "close", 2 / 27, 1), ("_atr", "_tr", 2 / 15, 1), ("_signal", ("_fast", "_slow"), 2 / 10, 1)]
+
+
+def _technical_columns(x: DataFrame) -> DataFrame:
+    close, mid, up, low, macd = F.col("close"), F.col("bb_mid"), F.col("bb_mid") + 2 * F.col("_bb"), F.col("bb_mid") - 2 * F.col("_bb"), F.col("_fast") - F.col("_slow")
     x = x.withColumns({
-        "rsi_14": 100 - _div(F.lit(100.0), 1 + _div(F.col("_g"), F.col("_l"))), "macd": F.try_divide("_macd", close), "macd_signal": F.try_divide("_signal", close), "macd_hist": F.try_divide(F.col("_macd") - F.col("_signal"), close),
+        "rsi_14": 100 - _div(F.lit(100.0), 1 + _div(F.col("_g"), F.col("_l"))), "macd": F.try_divide(macd, close), "macd_signal": F.try_divide("_signal", close), "macd_hist": F.try_divide(macd - F.col("_signal"), close),
         "bb_upper": F.try_divide(up, close), "bb_lower": F.try_divide(low, close), "bb_width": _div(up - low, mid), "bb_pct": _div(close - low, up - low), "atr_14": _div(F.col("_atr"), close),
     })
-    x = x.withColumn("bb_mid", F.try_divide("bb_mid", close))
+    return x.withColumn("bb_mid", F.try_divide("bb_mid", close))
+
+
+def _public(x: DataFrame) -> DataFrame:
     return x.drop(*[c for c in x.columns if c.startswith("_")])
 
 
+def technical(bars: DataFrame, horizon: int = 5, market: DataFrame | None = None) -> DataFrame:
+    """Returns, momentum, volatility, strength index, moving-average divergence, bands, true range, and the targets.
+
+    Windows and the recurrences share one shuffle by symbol.
+    """
+    return _public(_technical_columns(w.by_symbol(_technical_windows(bars, horizon, market), _MEANS)))
+
+
 #: The names of the features of each family.
 TECHNICAL = ["log_return_1d", "momentum_5d", "momentum_10d", "momentum_20d", "volatility_10d", "volatility_20d", "volatility_30d", "rsi_14", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_mid", "bb_width", "bb_pct", "atr_14"]
 
@@ -98,13 +109,7 @@ def daily_news(items: DataFrame, text: str = "headline", score: Column | None =
     return d if days is None else days.join(d, "date", "left").fillna(0, ["article_count", "avg_sentiment", "sentiment_std"])
 
 
-def sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None = None) -> DataFrame:
-    """Volume, market-relative, sector-relative and volatility-regime features."""
-    return w.by_symbol(_sector(bars, market, sector_close), ranks=[("vol_percentile", "_vol20", 252, 252)]).select("symbol", "date", *SECTOR)
-
-
-def _sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None) -> DataFrame:
-    """All of sector but the ranks."""
+def _sector_windows(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None) -> DataFrame:
     # returns of the market and the sector are taken on their own calendars (one row a day), then aligned
     days = Window.partitionBy(F.lit(1)).orderBy("date")
     own = lambda m: m.withColumn("ret", F.ln(F.try_divide("close", F.lag("close").over(days))))
@@ -114,13 +119,21 @@ def _sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None)
     x = x.withColumns({"_r": w.log_return("close"), "_dir": F.signum(w.diff("close")), "_v20": w.roll_mean("volume", 20), "_v10": w.roll_mean("volume", 10), "_v5": w.roll_mean("volume", 5), "_slope": w.roll_slope("volume", 5)})
     x = x.withColumns({"_obv": w.cum_sum(F.col("volume") * F.col("_dir"))})
     x = x.withColumns({"_beta": w.roll_beta("_r", "_mr", 60), "_vol20": w.roll_std("_r", 20) * YEAR, "_vol60": w.roll_std("_r", 60) * YEAR} | {f"_{n}{k}": w.roll_sum(f"_{n}", k) for n in ("r", "mr", "sr") for k in (5, 20)} | {"_obv10": w.diff("_obv", 10)})
-    return x.select(
-        "symbol", "date", F.try_divide("volume", F.nullif("_v20", F.lit(0.0))).alias("volume_ratio_20d"),
-        F.when(F.col("_v5") > 0, F.try_divide("_slope", "_v5")).when(F.col("_v5").isNotNull(), 0.0).alias("volume_trend_5d"), _div(F.col("_obv10"), F.col("_v10")).alias("obv_momentum_10d"),
-        clip("_beta", -3.0, 3.0).alias("rolling_beta"), *[(F.col(f"_r{k}") - F.col("_beta") * F.col(f"_mr{k}")).alias(f"idiosyncratic_momentum_{k}d") for k in (5, 20)],
-        *[(F.col(f"_r{k}") - F.col(f"_sr{k}")).alias(f"sector_rel_momentum_{k}d") for k in (5, 20)], flag(F.col("_vol20") > F.col("_vol60")).alias("vol_regime"),
-        w.roll_std("_vol20", 20).alias("vol_of_vol"), "_vol20",
-    )
+    x = x.withColumns({
+        "volume_ratio_20d": F.try_divide("volume", F.nullif("_v20", F.lit(0.0))),
+        "volume_trend_5d": F.when(F.col("_v5") > 0, F.try_divide("_slope", "_v5")).when(F.col("_v5").isNotNull(), 0.0), "obv_momentum_10d": _div(F.col("_obv10"), F.col("_v10")),
+        "rolling_beta": clip("_beta", -3.0, 3.0), "vol_regime": flag(F.col("_vol20") > F.col("_vol60")), "vol_of_vol": w.roll_std("_vol20", 20),
+    } | {f"idiosyncratic_momentum_{k}d": F.col(f"_r{k}") - F.col("_beta") * F.col(f"_mr{k}") for k in (5, 20)} | {f"sector_rel_momentum_{k}d": F.col(f"_r{k}") - F.col(f"_sr{k}") for k in (5, 20)})
+    return x.drop("_mr", "_sr", "_pos", "_r", "_dir", "_v20", "_v10", "_v5", "_slope", "_obv", "_beta", "_vol60", "_obv10", *[f"_{n}{k}" for n in ("r", "mr", "sr") for k in (5, 20)])
+
+
+_VOL_RANK = ("vol_percentile", "_vol20", 252, 252)
+
+
+def sector(bars: DataFrame, market: DataFrame, sector_close: DataFrame | None = None) -> DataFrame:
+    """Volume, market-relative, sector-relative and volatility-regime features."""
+    x = _sector_windows(bars, market, sector_close).select("symbol", "date", "_vol20", *[c for c in SECTOR if c != "vol_percentile"])
+    return w.by_symbol(x, ranks=[_VOL_RANK]).select("symbol", "date", *SECTOR)
 
 
 def earnings(calendar: DataFrame, events: DataFrame, decay_days: int = 30, threshold: float = 0.05, publication_lag_days: int = 0) -> DataFrame:
@@ -137,24 +150,35 @@ def no_earnings(calendar: DataFrame) -> DataFrame:
     return calendar.select("symbol", "date", z.alias("earnings_surprise"), z.alias("earnings_surprise_abs"), F.lit(None).cast("double").alias("days_since_earnings"), z.alias("earnings_drift_signal"), z.alias("beat_miss"))
 
 
-def implied_volatility_proxy(bars: DataFrame, vix: DataFrame) -> DataFrame:
-    """Implied volatility from the level of an index of it and the symbol's beta to it, on the price calendar."""
-    x = panel.align(bars, vix, "close", "_vix").withColumns({"_r": w.log_return("close"), "_x": F.col("_vix") / 100})
-    x = x.withColumns({"_rv20": w.roll_std("_r", 20) * YEAR, "_rv30": w.roll_std("_r", 30) * YEAR, "_dx": w.pct_change("_x")})
+def _options_windows(bars: DataFrame, vix: DataFrame) -> DataFrame:
+    x = panel.align(bars, vix, "close", "_vix").withColumns({"_ret": w.log_return("close"), "_x": F.col("_vix") / 100})
+    x = x.withColumns({"_rv20": w.roll_std("_ret", 20) * YEAR, "_rv30": w.roll_std("_ret", 30) * YEAR, "_dx": w.pct_change("_x")})
     x = x.withColumn("_dr", w.pct_change("_rv20"))
-    x = x.withColumn("_beta", clip(w.roll_beta("_dr", "_dx", 60), 0.5, 3.0))
-    x = x.withColumn("iv_30d", F.coalesce(F.col("_x") * F.col("_beta"), "_rv20"))
-    x = x.withColumn("iv_60d", w.roll_mean("iv_30d", 5))
-    return _options(w.by_symbol(_implied(x), ranks=[("_rank", "iv_30d", 252, 252)]))
+    x = x.withColumn("_vbeta", clip(w.roll_beta("_dr", "_dx", 60), 0.5, 3.0))
+    x = x.withColumn("_iv", F.coalesce(F.col("_x") * F.col("_vbeta"), "_rv20"))
+    x = x.withColumns({"_iv60": w.roll_mean("_iv", 5), "_change": w.diff("_iv", 5)})
+    return x.drop("_vix", "_ret", "_x", "_dx", "_dr", "_vbeta")
+
+
+_IV_RANK = ("_iv_rank", "_iv", 252, 252)
 
 
-def _implied(x: DataFrame) -> DataFrame:
-    return x.withColumn("_change", w.diff("iv_30d", 5)).select("symbol", "date", "iv_30d", "iv_60d", "_rv20", "_rv30", "_change")
+def _options_columns(x: DataFrame) -> DataFrame:
+    iv, iv60 = F.col("_iv"), F.col("_iv60")
+    out = {"iv_30d": iv, "iv_60d": iv60, "iv_rv_spread_20": iv - F.col("_rv20"), "iv_rv_spread_30": iv - F.col("_rv30"), "iv_percentile_252": F.col("_iv_rank"), "iv_change_5d": F.col("_change"), "iv_term_structure": iv60 - iv}
+    return x.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in out.items()})
+
+
+def implied_volatility_proxy(bars: DataFrame, vix: DataFrame) -> DataFrame:
+    """Implied volatility from the level of an index of it and the symbol's beta to it, on the price calendar."""
+    x = _options_windows(bars, vix).select("symbol", "date", "_iv", "_iv60", "_rv20", "_rv30", "_change")
+    return _options_columns(w.by_symbol(x, ranks=[_IV_RANK])).select("symbol", "date", *OPTIONS)
 
 
-def _options(x: DataFrame) -> DataFrame:
-    out = {"iv_30d": F.col("iv_30d"), "iv_60d": F.col("iv_60d"), "iv_rv_spread_20": F.col("iv_30d") - F.col("_rv20"), "iv_rv_spread_30": F.col("iv_30d") - F.col("_rv30"), "iv_percentile_252": F.col("_rank"), "iv_change_5d": F.col("_change"), "iv_term_structure": F.col("iv_60d") - F.col("iv_30d")}
-    return x.select("symbol", "date", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()])
+def price_families(bars: DataFrame, market: DataFrame, vix: DataFrame, horizon: int = 5) -> DataFrame:
+    """technical, sector and implied_volatility_proxy of the same bars, in one shuffle and one pass instead of three and joins."""
+    x = _options_windows(_sector_windows(_technical_windows(bars, horizon, market), market, None), vix)
+    return _public(_options_columns(_technical_columns(w.by_symbol(x, _MEANS, [_VOL_RANK, _IV_RANK]))))
 
 
 def implied_volatility(chain: DataFrame, spot: float, as_of: str, days: Sequence[int] = (30, 60)) -> DataFrame:

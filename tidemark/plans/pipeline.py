@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, panel
-from tidemark.runtime import maybe_broadcast
+from tidemark.runtime import cut
 from tidemark.sources.tables import table
 
 
@@ -45,9 +45,11 @@ def with_roles(macro: DataFrame, roles: Mapping[str, str] | Sequence[str] = feat
     return macro.join(F.broadcast(named), "symbol").select(F.col("_role").alias("symbol"), "date", "close")
 
 
-def views(spark: SparkSession, d: str, roles: Mapping[str, str] | Sequence[str] = features.ROLES) -> dict[str, DataFrame]:
-    bars = panel.bars(table(spark, d, "prices"))
-    series = panel.daily_last(table(spark, d, "macro"))
+def views(spark: SparkSession, d: str, roles: Mapping[str, str] | Sequence[str] = features.ROLES, materialise: bool = False) -> dict[str, DataFrame]:
+    """The panels. materialise: bars and series, which many families read, are computed once (a row per symbol and day)."""
+    keep = cut if materialise else lambda df: df
+    bars = keep(panel.bars(table(spark, d, "prices")))
+    series = keep(panel.daily_last(table(spark, d, "macro")))
     s = table(spark, d, "sentiment")
     held = s.groupBy("symbol", "date").agg(F.max(F.struct("loaded_at", "article_count", F.nanvl("sentiment_score", F.lit(None)).alias("score"))).alias("r"))
     news = held.select("symbol", "date", F.coalesce("r.score", F.lit(0.0)).alias("avg_sentiment"), F.coalesce("r.article_count", F.lit(0)).alias("article_count"))
@@ -59,15 +61,13 @@ def views(spark: SparkSession, d: str, roles: Mapping[str, str] | Sequence[str]
 
 def matrix(spark: SparkSession, d: str, cfg: Config = Config(), live: bool = False) -> DataFrame:
     """(symbol, date, all features, targets). Live keeps the days whose target lies in the future."""
-    v = views(spark, d, cfg.roles)
+    v = views(spark, d, cfg.roles, materialise=True)
     calendar = v["bars"].select("symbol", "date")
-    tech = features.technical(v["bars"], cfg.horizon, v["market"])
-    if not live:
-        tech = tech.dropna(subset=[*features.TECHNICAL, "excess_return_5d"])
     vix = v["macro"].filter("symbol = 'vix'").select("date", "close")
-    x = features.merge(
-        tech, features.sector(v["bars"], v["market"]), features.earnings(calendar, v["events"], publication_lag_days=cfg.publication_lag_days),
-        features.implied_volatility_proxy(v["bars"], vix), features.sentiment(v["news"]),
-        by_date=maybe_broadcast(features.macro(v["macro"])), fill=[*features.MACRO, *features.SENTIMENT], limit=cfg.fill_limit,
+    own = features.price_families(v["bars"], cut(v["market"]), vix, cfg.horizon)
+    if not live:
+        own = own.dropna(subset=[*features.TECHNICAL, "excess_return_5d"])
+    return features.merge(
+        own, features.earnings(calendar, v["events"], publication_lag_days=cfg.publication_lag_days), features.sentiment(v["news"]),
+        by_date=F.broadcast(features.macro(v["macro"])), fill=[*features.MACRO, *features.SENTIMENT], limit=cfg.fill_limit,
     )
-    return x
