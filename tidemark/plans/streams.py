@@ -21,7 +21,7 @@ def stream_daily_bars(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = daily.daily_bars(daily.landed(spark, f"{d}/event[s].parquet", schema), "event_type", "ts", "value", "2 days")
     daily.run_to_table(stream, f"{at}/state", f"{at}/table")
-    return spark.read.parquet(f"{at}/table").select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "n")
+    return daily.latest(spark, f"{at}/table").select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "n")
 
 
 QUERIES["stream_daily_bars"] = stream_daily_bars

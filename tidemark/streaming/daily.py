@@ -1,7 +1,7 @@
 """Daily bars and news from event streams, and the refresh of features by micro-batches.
 
-Daily totals close when the watermark passes the day; rows later than the watermark are dropped by Spark, and the
-batch operators correct them (operators.rolling_state). Windows of rows are not available on streams, so features
+Daily totals are updated until the watermark passes the day, whose state is then released; rows later than the watermark
+are dropped by Spark, and the batch operators correct them (operators.rolling_state). Windows of rows are not available on streams, so features
 are refreshed per micro-batch for the touched symbols only.
 """
 
@@ -32,11 +32,22 @@ def refresh(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int],
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
-def run_to_table(stream: DataFrame, checkpoint: str, path: str, mode: str = "complete") -> None:
-    """Everything that has landed, aggregated to a Parquet table. Each batch replaces the table (complete mode)."""
+def run_to_table(stream: DataFrame, checkpoint: str, path: str, mode: str = "update") -> None:
+    """Everything that has landed, aggregated to a Parquet table of changes; `latest` reads it.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A batch writes the days it changed only, to its own folder, so a batch that is repeated replaces itself. The state
+    of days that the watermark has passed is released. In append mode days are written once, when they close.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
+
+
+def latest(spark: SparkSession, path: str, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """The rows of a table of changes as the last batch left them, reduced before the shuffle."""
+    t = spark.read.parquet(path)
+    rest = [c for c in t.columns if c not in (*keys, "batch")]
+    return t.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
