@@ -82,11 +82,12 @@ def _partial(cov: np.ndarray, i: int, j: int, z: list[int], n: int) -> tuple[flo
     return r, t_two_sided(r * math.sqrt(max(dof, 0) / (1 - r * r)), dof)
 
 
-def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, test: str = "ParCorr", max_conditions: int = 3, targets: Sequence[str] | None = None) -> list[tuple[str, str, int, float, float]]:
+def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, test: str = "ParCorr", max_conditions: int | None = None, targets: Sequence[str] | None = None) -> list[tuple[str, str, int, float, float]]:
     """(source, target, lag, p-value, partial correlation) of every lagged pair, or of those into `targets`.
 
-    Parents of each variable are found by conditioning on the strongest others; each link is then tested given the
-    parents of both ends. Both stages need only the covariance of the lagged columns.
+    Parents of each variable are found by conditioning on the strongest others, on one more at a time until there are no
+    more (or max_conditions); each link is then tested given the parents of both ends. Both stages need only the
+    covariance of the lagged columns.
     """
     if test != "ParCorr":
         raise ValueError(f"unsupported test {test}")
@@ -94,7 +95,7 @@ def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int
     return _links(n, cov, names, columns, columns if targets is None else targets, tau_min, tau_max, pc_alpha, max_conditions)
 
 
-def pcmci_by_symbol(df: DataFrame, columns: Sequence[str], target: str, alpha: float = 0.01, tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, max_conditions: int = 3) -> DataFrame:
+def pcmci_by_symbol(df: DataFrame, columns: Sequence[str], target: str, alpha: float = 0.01, tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, max_conditions: int | None = None) -> DataFrame:
     """(symbol, feature, causal, pval, val, best_lag) as links_into, from each symbol's own rows. Complete rows count;
     a symbol with fewer than three of them has no links."""
     x = df.select("symbol", "date", *[F.col(c).cast("double") for c in columns])
@@ -115,32 +116,64 @@ def pcmci_by_symbol(df: DataFrame, columns: Sequence[str], target: str, alpha: f
     return x.groupBy("symbol").applyInPandas(run, "symbol string, feature string, causal boolean, pval double, val double, best_lag int")
 
 
+def _given(cov: np.ndarray, j: int, cand: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Partial correlations of j with all of cand given z: one residual covariance for all."""
+    a = np.append(cand, j)
+    s = cov[np.ix_(a, a)]
+    if len(z):
+        c = cov[np.ix_(a, z)]
+        s = s - c @ np.linalg.pinv(cov[np.ix_(z, z)], hermitian=True) @ c.T
+    d = np.maximum(np.diag(s), 0)
+    # what is left of a column that the conditions determine is rounding
+    ok = (d[:-1] > 1e-12 * np.diag(cov)[cand]) & (d[-1] > 1e-12 * cov[j, j])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.where(ok, s[:-1, -1] / np.sqrt(d[:-1] * d[-1]), 0.0)
+    return np.clip(r, -1 + 1e-15, 1 - 1e-15)
+
+
+def _p_value(r: float, n: int, conditions: int) -> float:
+    dof = n - 2 - conditions
+    return t_two_sided(r * math.sqrt(max(dof, 0) / (1 - r * r)), dof)
+
+
+def _parents(n, cov, at, t, columns, tau_min, tau_max, pc_alpha, most) -> list[tuple[str, int]]:
+    """The lagged columns that stay dependent on t given ever more of the strongest others, until there are no more."""
+    cand = [(c, k) for k in range(tau_min, tau_max + 1) for c in columns]
+    j = at[t, 0]
+    strength = dict(zip(cand, np.abs(_given(cov, j, np.array([at[q] for q in cand]), np.empty(0, int))), strict=True))
+    d = 0
+    while most is None or d <= most:
+        cand.sort(key=lambda q: (-strength[q], q))
+        idx = np.array([at[q] for q in cand])
+        # all others share the first d as conditions; each of the first d has the d others of the first d + 1
+        r = np.empty(len(cand))
+        r[d:] = _given(cov, j, idx[d:], idx[:d])
+        for i in range(min(d, len(cand))):
+            r[i] = _given(cov, j, idx[i : i + 1], np.delete(idx[: d + 1], i))[0]
+        used = min(d, len(cand) - 1)
+        keep = []
+        for q, v in zip(cand, r.tolist(), strict=True):
+            strength[q] = min(strength[q], abs(v))
+            if _p_value(v, n, used) <= pc_alpha:
+                keep.append(q)
+        cand = keep
+        if len(cand) <= d or n - 3 - d <= 0:
+            break
+        d += 1
+    return cand
+
+
 def _links(n, cov, names, columns, targets, tau_min, tau_max, pc_alpha, max_conditions) -> list[tuple[str, str, int, float, float]]:
     at = {k: i for i, k in enumerate(names)}
-    parents: dict[str, list[tuple[str, int]]] = {}
-    for t in columns:
-        cand = [(c, k) for k in range(tau_min, tau_max + 1) for c in columns]
-        strength = {q: abs(_partial(cov, at[q], at[t, 0], [], n)[0]) for q in cand}
-        for d in range(max_conditions + 1):
-            cand.sort(key=lambda q: (-strength[q], q))
-            keep = []
-            for q in cand:
-                z = [at[o] for o in cand if o != q][:d]
-                r, p = _partial(cov, at[q], at[t, 0], z, n)
-                strength[q] = min(strength[q], abs(r))
-                if p <= pc_alpha:
-                    keep.append(q)
-            cand = keep
-            if len(cand) <= d:
-                break
-        parents[t] = cand
+    parents = {t: _parents(n, cov, at, t, columns, tau_min, tau_max, pc_alpha, max_conditions) for t in columns}
     out = []
     for t in targets:
         for c in columns:
             for k in range(tau_min, tau_max + 1):
                 z = [at[o] for o in parents[t] if o != (c, k)] + [at[o, j + k] for o, j in parents[c] if j + k <= 2 * tau_max]
-                r, p = _partial(cov, at[c, k], at[t, 0], list(dict.fromkeys(i for i in z if i not in (at[c, k], at[t, 0]))), n)
-                out.append((c, t, k, p, r))
+                z = np.array(list(dict.fromkeys(i for i in z if i not in (at[c, k], at[t, 0]))), int)
+                r = float(_given(cov, at[t, 0], np.array([at[c, k]]), z)[0])
+                out.append((c, t, k, _p_value(r, n, len(z)), r))
     return out
 
 
@@ -179,3 +212,22 @@ def selection_record(selected: DataFrame, ticker: str, strategy: str, least: int
     if n < least:
         raise ValueError(f"{n} causal features; at least {least} are needed")
     return r.select(F.lit(ticker).alias("ticker"), F.lit(strategy).alias("strategy"), "n_features", "features")
+
+
+def save_selection(record: DataFrame, path: str) -> None:
+    """A selection_record as JSON."""
+    record.write.mode("overwrite").json(path)
+
+
+def load_selection(spark, path: str) -> DataFrame:
+    """The records saved under a path; raises if there are none."""
+    schema = "ticker string, strategy string, n_features long, features array<struct<pcmci_pval:double,name:string,granger_causal:boolean,granger_pval:double,pcmci_causal:boolean,pcmci_lag:long>>"
+    return spark.read.schema(schema).json(path)
+
+
+def load_features(spark, path: str, ticker: str) -> list[str]:
+    """The names selected for a ticker, best first: a list capped by the selection."""
+    r = load_selection(spark, path).filter(F.col("ticker") == ticker).first()
+    if r is None:
+        raise ValueError(f"no selection for {ticker}")
+    return [f.name for f in r.features]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,10 +111,24 @@ def monitor(preds: DataFrame, rows: int = 252, alarm: float = 0.60) -> DataFrame
 
 
 def random_baseline(preds: DataFrame, trials: int = 1000, seed: int = 42) -> DataFrame:
-    """(mean_accuracy, std_accuracy) of random signs: a hashed sign per row and trial, one aggregation for all."""
-    t = preds.dropna(subset=["y_true"]).select("symbol", "date", (F.col("y_true") >= 0).alias("up"))
-    up = F.xxhash64("symbol", "date", F.lit(seed), F.col("trial")) >= 0
-    x = t.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).groupBy("trial").agg(F.avg((up == F.col("up")).cast("int")).alias("a"))
+    """(mean_accuracy, std_accuracy) of random signs: a hashed sign per row and trial. One pass adds up the hits of all
+    trials in place, and only these sums are shuffled."""
+    t = preds.dropna(subset=["y_true"]).select(F.xxhash64("symbol", "date", F.lit(seed)).alias("h"), (F.col("y_true") >= 0).alias("up"))
+
+    def hits(batches):
+        n, total = 0, np.zeros(trials, "int64")
+        salt = (np.arange(1, trials + 1, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15))[None]
+        for b in batches:
+            h, up = b.h.to_numpy("int64").view("uint64")[:, None], b.up.to_numpy(bool)[:, None]
+            for k in range(0, len(b), 2000):
+                z = (h[k : k + 2000] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                total += (((z >> np.uint64(63)) == 0) == up[k : k + 2000]).sum(axis=0)
+            n += len(b)
+        yield pd.DataFrame({"n": [n], "hits": [total.tolist()]})
+
+    x = t.mapInPandas(hits, "n long, hits array<long>").select("n", F.posexplode("hits").alias("trial", "hits"))
+    x = x.groupBy("trial").agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("a"))
     return x.agg(F.avg("a").alias("mean_accuracy"), F.stddev_pop("a").alias("std_accuracy"))
 
 

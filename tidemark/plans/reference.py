@@ -575,9 +575,7 @@ def ev_metrics(spark, d):
 
 @query(f"with {_PRED} select {_LABEL} as regime, count(*) as n, {s6('avg(((y_pred >= 0) = (y_true >= 0))::int)', 'directional_accuracy')}, {s6('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))', 'rmse')} from p group by 1")
 def ev_regimes(spark, d):
-    m = panel.label_ranges(_preds(spark, d).dropna(), REGIMES).groupBy("regime")
-    e = F.col("y_true") - F.col("y_pred")
-    return m.agg(F.count("*").alias("n"), r6(evaluate.directional_accuracy(F.col("y_pred"), F.col("y_true")), "directional_accuracy"), r6(F.sqrt(F.avg(e * e)), "rmse"))
+    return evaluate.regime_metrics(_preds(spark, d), REGIMES).select("regime", "n", r6("directional_accuracy"), r6("rmse"))
 
 
 _WALK = evaluate.walk_forward_windows(dt.date(2018, 1, 1), dt.date(2024, 12, 31))
