@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
+from tidemark.ml import arima, boosting
+from tidemark.runtime import cut
 
 # Fallback weights of the blend, and the quantile of its band.
 WEIGHTS = {"trees_a": 0.50, "trees_b": 0.35, "arima": 0.15}
@@ -46,55 +48,28 @@ def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(k) for c, (m, k) in s.items()})
 
 
-def trees(kind: str = "a", target: str = "y", rounds: int = 500, rate: float = 0.05, depth: int = 6, seed: int = 42) -> GBTRegressor:
-    """Boosted trees with early stopping on the rows flagged `is_validation`; two variants for the blend."""
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth if kind == "a" else depth - 1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20 if kind == "a" else 5, validationIndicatorCol="is_validation", validationTol=1e-5, seed=seed if kind == "a" else seed + 1, cacheNodeIds=False)
-
-
 def with_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
 
 
-def importance(model, features: Sequence[str]) -> list[tuple[str, float]]:
-    v = model.featureImportances.toArray()
-    return sorted(zip(features, v.tolist(), strict=True), key=lambda p: (-p[1], p[0]))
+def importance(model: boosting.Trees, features: Sequence[str]) -> list[tuple[str, float]]:
+    return sorted(zip(features, model.importances.tolist(), strict=True), key=lambda p: (-p[1], p[0]))
 
 
 def fit_ar(y: np.ndarray, max_p: int = 5, max_d: int = 2, steps: int = 5) -> tuple[int, int, float, float]:
-    """(p, d, AIC, forecast): least-squares autoregression, order by AIC, differenced while that lowers the variance."""
-    y = y[~np.isnan(y)]
-    if len(y) < 3 * max_p + max_d or np.ptp(y) == 0:
-        return 0, 0, 0.0, float(y[-1]) if len(y) else 0.0
-    d, z = 0, y
-    while d < max_d and np.var(np.diff(z)) < np.var(z):
-        z, d = np.diff(z), d + 1
-    best = None
-    for p in range(max_p + 1):
-        n = len(z) - max_p
-        x = np.column_stack([np.ones(n)] + [z[max_p - j : len(z) - j] for j in range(1, p + 1)])
-        b, *_ = np.linalg.lstsq(x, z[max_p:], rcond=None)
-        s = float(((z[max_p:] - x @ b) ** 2).sum())
-        aic = n * np.log(max(s / n, 1e-300)) + 2 * (p + 1)
-        if best is None or aic < best[0] - 1e-12:
-            best = (aic, p, b)
-    aic, p, b = best
-    h = list(z)
-    for _ in range(steps):
-        h.append(float(b[0] + sum(b[j] * h[-j] for j in range(1, p + 1))))
-    f = np.array(h[len(z) :])
-    for k in range(d):  # back to levels
-        last = np.diff(y, n=d - 1 - k)[-1] if d - 1 - k else y[-1]
-        f = last + np.cumsum(f)
-    return p, d, float(aic), float(f[-1])
-
-
-def ar_forecasts(train: DataFrame, target: str, steps: int = 5) -> DataFrame:
-    """(symbol, p, d, aic, forecast): the last step's forecast stands for all later rows. A group is one series."""
+    """(p, d, AIC, forecast): fit_arima without moving-average terms."""
+    m = arima.fit_arima(y, max_p, 0, max_d)
+    return m.p, m.d, m.aic, m.forecast(steps)[-1]
+
+
+def ar_forecasts(train: DataFrame, target: str, steps: int = 5, max_p: int = 5, max_q: int = 5, max_d: int = 2) -> DataFrame:
+    """(symbol, p, d, q, aic, forecast): the last step's forecast stands for all later rows. A group is one series."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *fit_ar(pdf.sort_values("date")["y"].to_numpy(float), steps=steps))], columns=["symbol", "p", "d", "aic", "forecast"])
+        m = arima.fit_arima(pdf.sort_values("date")["y"].to_numpy(float), max_p, max_q, max_d)
+        return pd.DataFrame([(*key, m.p, m.d, m.q, m.aic, m.forecast(steps)[-1])], columns=["symbol", "p", "d", "q", "aic", "forecast"])
 
-    return train.select("symbol", "date", F.col(target).alias("y")).groupBy("symbol").applyInPandas(run, "symbol string, p int, d int, aic double, forecast double")
+    return train.select("symbol", "date", F.col(target).alias("y")).groupBy("symbol").applyInPandas(run, "symbol string, p int, d int, q int, aic double, forecast double")
 
 
 def fit_ridge(df: DataFrame, inputs: Sequence[str], target: str, alpha: float = 1.0) -> tuple[dict[str, float], float]:
@@ -140,6 +115,7 @@ def prediction_record(df: DataFrame, drivers: Sequence[str] = (), horizon: int =
     return df.select("symbol", "date", r, F.col("close").alias("current_price"), p.alias("predicted_price"), F.when(r >= 0, "UP").otherwise("DOWN").alias("direction"), clip(0.5 + F.abs(r) / F.nullif(v, F.lit(0.0)) / 4, 0.3, 0.9).alias("confidence"), (F.col("close") * F.exp(r - BAND * v)).alias("lower_band"), (F.col("close") * F.exp(r + BAND * v)).alias("upper_band"), F.slice(F.reverse(F.array_sort(d)), 1, 5).alias("causal_drivers"), F.lit(model).alias("model"), F.lit(horizon).alias("horizon_days"))
 
 
+# The levels of the detector.
 def detect_regime() -> Column:
     """A regime from the state of the market; missing inputs take their neutral values."""
     c = lambda n, v: F.coalesce(F.col(n), F.lit(v))
@@ -162,59 +138,63 @@ def predict_direction(model, df: DataFrame, inputs: Sequence[str]) -> DataFrame:
 class Ensemble:
     """Two tree learners and an autoregression on the training part, stacked on the validation part.
 
-    Features are scaled once. `regime` models are ensembles of their own rows; `predict` routes by the detector.
+    Features are scaled once. The trees are fitted on about `sample_rows` rows at most (boosting.bounded), the ridge, the
+    scaler and the autoregressions on all.
     """
 
-    def __init__(self, features: Sequence[str], target: str, rounds: int = 500, depth: int = 6):
-        self.features, self.target, self.rounds, self.depth = list(features), target, rounds, depth
+    def __init__(self, features: Sequence[str], target: str, rounds: int = 500, depth: int = 6, sample_rows: int = boosting.SAMPLE_ROWS):
+        self.features, self.target, self.rounds, self.depth, self.sample_rows = list(features), target, rounds, depth, sample_rows
 
     def fit(self, matrix: DataFrame) -> Ensemble:
-        x = chronological_split(matrix, [*self.features, self.target])
-        self.scaler = fit_scaler(x.filter("part = 'train'"), self.features)
-        z = with_vector(apply_scaler(x, self.scaler), self.features).withColumn("is_validation", F.col("part") == "validation").withColumn("y", F.col(self.target))
-        fit = z.filter("part != 'test'").persist()
-        self.a, self.b = (trees(k, "y", self.rounds, depth=self.depth).fit(fit) for k in "ab")
-        self.ar = ar_forecasts(x.filter("part = 'train'"), self.target)
-        v = self._raw(z.filter("part = 'validation'"), self.ar)
+        x = cut(chronological_split(matrix, [*self.features, self.target]).select("symbol", "date", "part", self.target, *self.features))
+        self.scaler = cut(fit_scaler(x.filter("part = 'train'"), self.features))
+        z = apply_scaler(x, self.scaler).withColumn("is_validation", F.col("part") == "validation").withColumn("y", F.col(self.target))
+        two = {n: replace(p, rounds=self.rounds, depth=self.depth) for n, p in (("a", boosting.LEAF_WISE), ("b", boosting.LEVEL_WISE))}
+        got = boosting.fit_models(z.filter("part != 'test'"), self.features, "y", "is_validation", two, rows=self.sample_rows)
+        self.a, self.b = got["a"], got["b"]
+        v = self._raw(z.filter("part = 'validation'"), ar_forecasts(x.filter("part = 'train'"), self.target))
         self.weights, self.intercept = fit_ridge(v, list(WEIGHTS), "y")
-        self.ar = ar_forecasts(x.filter("part != 'test'"), self.target)
-        fit.unpersist()
+        self.ar = cut(ar_forecasts(x.filter("part != 'test'"), self.target))
         return self
 
     def _raw(self, z: DataFrame, ar: DataFrame) -> DataFrame:
-        out = self.a.transform(z).withColumnRenamed("prediction", "trees_a")
-        out = self.b.transform(out).withColumnRenamed("prediction", "trees_b")
+        out = boosting.score(z, self.features, {"trees_a": self.a, "trees_b": self.b})
         return out.join(ar.select("symbol", F.col("forecast").alias("arima")), "symbol", "left")
 
+    def _scaled(self, df: DataFrame) -> DataFrame:
+        y = F.col(self.target) if self.target in df.columns else F.lit(None).cast("double")
+        keep = df.withColumn("y", y.cast("double")).dropna(subset=self.features).select("symbol", "date", "y", *[F.col(c).cast("double") for c in self.features])
+        return apply_scaler(keep, self.scaler)
+
     def predict(self, df: DataFrame) -> DataFrame:
-        z = with_vector(apply_scaler(df.withColumn("y", F.col(self.target)) if self.target in df.columns else df.withColumn("y", F.lit(None).cast("double")), self.scaler), self.features)
-        out = self._raw(z, self.ar).withColumn("predicted_return", blend(self.weights, self.intercept))
+        out = self._raw(self._scaled(df), self.ar).withColumn("predicted_return", blend(self.weights, self.intercept))
         return out.select("symbol", "date", "trees_a", "trees_b", "arima", "predicted_return", (F.col("predicted_return") >= 0).cast("int").alias("direction_pred"), F.col("y").alias("actual_return"))
 
+    def drivers(self, df: DataFrame, most: int = 5) -> DataFrame:
+        """(symbol, date, causal_drivers): the features of the largest contributions to the leaf-wise trees' prediction,
+        with their scaled values; a feature that the rows lack is 0."""
+        have = df.withColumns({c: F.lit(0.0) for c in self.features if c not in df.columns})
+        return boosting.drivers(self._scaled(have), self.features, self.a, most).select("symbol", "date", "causal_drivers")
+
     def save(self, path: str) -> None:
-        self.a.write().overwrite().save(f"{path}/trees_a")
-        self.b.write().overwrite().save(f"{path}/trees_b")
         self.ar.write.mode("overwrite").parquet(f"{path}/ar")
         self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
         about = {"features": self.features, "target": self.target, "weights": self.weights, "intercept": self.intercept}
-        self.ar.sparkSession.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
+        rows = [(json.dumps(about), self.a.to_json(), self.b.to_json())]
+        self.ar.sparkSession.createDataFrame(rows, "about string, trees_a string, trees_b string").write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Ensemble:
-        about = json.loads(spark.read.parquet(f"{path}/about").first().about)
+        r = spark.read.parquet(f"{path}/about").first()
+        about = json.loads(r.about)
         e = cls(about["features"], about["target"])
-        e.a, e.b = (GBTRegressionModel.load(f"{path}/trees_{k}") for k in "ab")
+        e.a, e.b = boosting.Trees.from_json(r.trees_a), boosting.Trees.from_json(r.trees_b)
         e.ar, e.scaler = spark.read.parquet(f"{path}/ar"), spark.read.parquet(f"{path}/scaler")
         e.weights, e.intercept = about["weights"], about["intercept"]
         return e
 
 
-def tune(matrix: DataFrame, features: Sequence[str], target: str, grid: Sequence[dict]) -> list[tuple[dict, float]]:
-    """Parameters by directional accuracy on the validation part (signs compared as signs), best first."""
-    x = with_vector(chronological_split(matrix, [*features, target]), features).withColumn("is_validation", F.col("part") == "validation").withColumn("y", F.col(target)).persist()
-    out = []
-    for g in grid:
-        m = trees("a", "y", **g).fit(x.filter("part != 'test'"))
-        out.append((g, m.transform(x.filter("part = 'validation'")).agg(F.avg((F.signum("prediction") == F.signum("y")).cast("int"))).first()[0]))
-    x.unpersist()
-    return sorted(out, key=lambda r: -(r[1] or 0))
+def tune(matrix: DataFrame, features: Sequence[str], target: str, trials: int = 100, **kw) -> list[tuple[dict, float]]:
+    """Parameters of the leaf-wise trees by directional accuracy on the validation part, best first."""
+    x = chronological_split(matrix, [*features, target]).filter("part != 'test'").withColumn("is_validation", F.col("part") == "validation")
+    return boosting.search(x, features, target, "is_validation", trials=trials, **kw)
