@@ -25,10 +25,22 @@ def matrix(spark):
 
 
 def test_regimes(matrix):
-    r = {x.regime: x for x in backtest.regime_backtest(matrix, {"m": make}, REGIMES).collect()}
+    r = {x.regime: x for x in backtest.regime_backtest(matrix, {"m": make}, REGIMES).collect() if x.model == "m"}
     assert set(r) == {"early", "late"} and all(x.directional_accuracy > 0.7 for x in r.values())
 
 
+def test_a_random_variant_stands_beside_the_others(matrix):
+    r = {(x.model, x.regime): x.directional_accuracy for x in backtest.regime_backtest(matrix, {"all": make, "one": make}, REGIMES).collect()}
+    assert set(r) == {(m, g) for m in ("all", "one", "random") for g in ("early", "late")} and 0.3 < r["random", "late"] < 0.7
+
+
+def test_the_best_window_is_promoted(spark, matrix, tmp_path):
+    due, scores = backtest.retrain(matrix, make, dt.date(2017, 1, 1), dt.date(2018, 3, 1), str(tmp_path), step_months=6)
+    best = spark.read.json(str(tmp_path / "best")).first()
+    assert due and best.score == max(scores.values()) and scores[int(best.path.split("=")[-1])] == best.score
+    assert backtest.promoted(spark, str(tmp_path)).predict(matrix).count() == 1100
+
+
 def test_walk_forward_and_retrain(matrix):
     w = backtest.walk_forward(matrix, make, train_years=3, step_months=12).collect()
     assert w and all(x.n >= 60 for x in w)

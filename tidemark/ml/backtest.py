@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.ml import evaluate
 from tidemark.ml.models import Ensemble, detect_regime
 from tidemark.runtime import cut
+from tidemark.sources.files import promote
 
 Make = Callable[[], Ensemble]
 
@@ -26,7 +27,8 @@ def _rows(df: DataFrame, at_most: int) -> int:
 def regime_backtest(matrix: DataFrame, variants: dict[str, Make], regimes=evaluate.US_REGIMES, least_test: int = 60, least_train: int = 200, embargo_rows: int = 1) -> DataFrame:
     """(model, regime, scores): each variant trained on the rows before a regime and scored within it.
 
-    Regimes with too few rows are left out. Predictions are materialised per run, so that runs stay independent.
+    Regimes with too few rows are left out. A variant `random` of hashed signs stands beside the others. Predictions are
+    materialised per run, so that runs stay independent.
     """
     out = None
     for name, start, end in regimes:
@@ -36,7 +38,11 @@ def regime_backtest(matrix: DataFrame, variants: dict[str, Make], regimes=evalua
         for model, make in variants.items():
             p = cut(_scored(make().fit(train), test).select(F.lit(model).alias("model"), F.lit(name).alias("regime"), "*"))
             out = p if out is None else out.unionByName(p)
-    return None if out is None else evaluate.metrics(out, ("model", "regime"))
+    if out is None:
+        return None
+    sign = F.when(F.xxhash64("symbol", "date", F.lit(42)) >= 0, 1.0).otherwise(-1.0)
+    chance = out.filter(F.col("model") == next(iter(variants))).withColumns({"model": F.lit("random"), "y_pred": sign * F.abs("y_true")})
+    return evaluate.metrics(out.unionByName(chance), ("model", "regime"))
 
 
 def walk_forward(matrix: DataFrame, make: Make, train_years: int = 3, step_months: int = 3, least_train: int = 200, least_test: int = 60) -> DataFrame | None:
@@ -71,9 +77,16 @@ def retrain(matrix: DataFrame, make: Make, last_trained: dt.date, as_of: dt.date
             scores[i] = r
             if path:
                 e.save(f"{path}/window={i}")
+    if path and scores:
+        promote(matrix.sparkSession, {f"{path}/window={i}": v for i, v in scores.items()}, f"{path}/best")
     return True, scores
 
 
+def promoted(spark: SparkSession, path: str) -> Ensemble:
+    """The model that the last retraining under the path promoted: that of the best window."""
+    return Ensemble.load(spark, spark.read.json(f"{path}/best").first().path)
+
+
 class RegimeEnsembles:
     """One ensemble per regime with enough rows, and one for all; rows go to the ensemble of their detected regime.
 

@@ -62,9 +62,16 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def read_config(path: str) -> dict:
-    """A JSON configuration with ${NAME} taken from the environment."""
+    """A JSON or YAML configuration (by the file's ending) with ${NAME} taken from the environment."""
     with open(os.path.expanduser(path)) as f:
-        return json.loads(substitute_env(f.read()))
+        text = substitute_env(f.read())
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("a YAML configuration needs the yaml package; use JSON") from e
+    return yaml.safe_load(text) or {}
 
 
 def promote(spark: SparkSession, candidates: dict[str, float], pointer: str) -> str:
