@@ -4,15 +4,16 @@ What counts as leaked is a run of RUN words in common. A query is such a passage
 shingles of SHINGLE words. The domains are windows of the documents: a text is covered by windows of WINDOW words that
 overlap by RUN - 1, so that every passage lies whole within one. MinHash estimates Jaccard similarity, so the windows
 are partitioned by size: in the partition of windows of u shingles a passage of q shingles that is contained (a
-containment of 1) has a Jaccard similarity of q / u, and the number of hash functions, each a band of one row, is set so
-that the chance that none of them agrees is at most MISS (`bands`). Short texts are one small window and need few.
+containment of 1) has a Jaccard similarity of q / u. A window and an item that agree in AGREE hash functions or more are a
+candidate, and the number of hash functions is set so that the chance that fewer agree is at most MISS (`bands`). Short
+texts are one small window and need few.
 
 1. The items' signatures are a table (signature, item), made in parallel, however many items there are.
-2. One pass over the corpus makes the signatures of all windows. Those not in a Bloom filter of the items' signatures are
-   dropped at once; the filter has at most FILTER_BITS bits, and beyond FILTER_KEYS signatures there is none, which
+2. One pass over the corpus makes the signatures of all windows. Windows of which fewer than AGREE are in a Bloom filter
+   of the items' signatures are dropped at once; the filter has at most FILTER_BITS bits, and beyond FILTER_KEYS signatures there is none, which
    costs time and no result.
-3. The rest are joined with the items' table on the signature: broadcast if it is counted to be small, else a shuffle
-   whose hot signatures Spark splits.
+3. The rest are joined with the items' table on the signature (broadcast if it is counted to be small, else a shuffle
+   whose hot signatures Spark splits), and the agreements of a window and an item are counted.
 4. Candidates are verified exactly: the window holds RUN consecutive words of the item.
 
 Defined cases: null and empty texts and texts under RUN words hold no passage. Each document and item is reported
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.runtime import cut, maybe_broadcast
 
 RUN, SHINGLE, WINDOW = 12, 5, 16
-#: Chance that a passage shares no signature with the window that holds it.
-MISS = 1e-9
+#: Agreeing signatures that make a candidate, and the chance that a passage has fewer with the window that holds it.
+AGREE, MISS = 3, 1e-9
 FILTER_BITS, FILTER_KEYS = 1 << 27, 1 << 23
 INDEX_ROWS, PART_WORDS = 500_000, 50_000
 _MARKUP = re.compile(r"<[^<>\n]*>|\[[^\[\]\n]*\]")
@@ -77,9 +78,13 @@ class Hasher:
         return np.array(out, "uint64")
 
 
-def bands(shingles: int, passage: int) -> int:
-    """How many hash functions find a passage of so many shingles in a window of `shingles` but for a chance of MISS."""
-    return 1 if shingles <= passage else math.ceil(math.log(MISS) / math.log(1 - passage / shingles))
+def bands(shingles: int, passage: int, agree: int = AGREE, miss: float = MISS) -> int:
+    """How many hash functions it takes that `agree` of them find a passage of so many shingles in a window of `shingles`,
+    but for a chance of `miss`."""
+    n, j = agree, min(1.0, passage / shingles)
+    while sum(math.comb(n, k) * j**k * (1 - j) ** (n - k) for k in range(agree)) > miss:
+        n += 1
+    return n
 
 
 def shingle_hashes(h: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -181,7 +186,7 @@ def item_index(items: DataFrame, run: int = RUN, shingle: int = SHINGLE, window:
 
 
 def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
-    """(doc_id, words, sigs) of the windows of docs(doc_id, text) with signatures that may be in the filter (a broadcast)."""
+    """(doc_id, words, sigs) of the windows of docs(doc_id, text) with enough signatures that may be in the filter (a broadcast)."""
     q, u = run - shingle + 1, window - shingle + 1
     of_size = np.array([bands(max(k, q), q) for k in range(u + 1)])
     n, kind = int(of_size[u]), docs.schema["doc_id"].dataType.simpleString()
@@ -208,7 +213,7 @@ def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = S
                 hit = np.zeros(sig.shape, bool)
                 used = np.arange(n)[:, None] < np.concatenate(need)[None]
                 hit[used] = _hit(known, sig[used])
-                some = np.flatnonzero(hit.any(axis=0))
+                some = np.flatnonzero(hit.sum(axis=0) >= AGREE)
                 rows = [(where[k][0], where[k][1][where[k][2] : where[k][2] + window], sig[hit[:, k], k].view("int64").tolist()) for k in some]
                 return pd.DataFrame(rows, columns=["doc_id", "words", "sigs"])
 
@@ -241,7 +246,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     keys = index.count()
     sent = docs.sparkSession.sparkContext.broadcast(make_filter(index, keys))
     found = candidate_windows(d, sent, run, shingle, window)
-    pairs = found.select("doc_id", "words", F.explode("sigs").alias("sig")).join(maybe_broadcast(index, INDEX_ROWS), "sig").select("doc_id", "words", "item_id").distinct()
+    pairs = found.select("doc_id", "words", F.explode("sigs").alias("sig")).join(maybe_broadcast(index, INDEX_ROWS), "sig").groupBy("doc_id", "words", "item_id").agg(F.count("*").alias("n")).filter(F.col("n") >= AGREE)
     kind = items.schema[item_id].dataType.simpleString()
 
     def spell(batches):
