@@ -178,15 +178,22 @@ def item_index(items: DataFrame, run: int = RUN, shingle: int = SHINGLE, window:
     def sign(batches):
         hasher = Hasher()
         for b in batches:
+            ids, sigs = [], []
             for i, t in zip(b.item_id, b.text, strict=True):
-                sig = passage_signatures(t, hasher, run, shingle, n)
-                yield pd.DataFrame({"sig": sig.view("int64"), "item_id": [i] * len(sig)})
+                sigs.append(passage_signatures(t, hasher, run, shingle, n))
+                ids += [i] * len(sigs[-1])
+                if len(ids) > 500_000:
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view("int64"), "item_id": ids})
+                    ids, sigs = [], []
+            if ids:
+                yield pd.DataFrame({"sig": np.concatenate(sigs).view("int64"), "item_id": ids})
 
     return items.mapInPandas(sign, f"sig long, item_id {kind}").distinct()
 
 
 def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
-    """(doc_id, words, sigs) of the windows of docs(doc_id, text) with enough signatures that may be in the filter (a broadcast)."""
+    """(doc_id, at, passages, sigs) of the windows of docs(doc_id, text) with enough signatures that may be in the filter (a
+    broadcast): the first word's place, and each run of words spelled between blanks."""
     q, u = run - shingle + 1, window - shingle + 1
     of_size = np.array([bands(max(k, q), q) for k in range(u + 1)])
     n, kind = int(of_size[u]), docs.schema["doc_id"].dataType.simpleString()
@@ -200,22 +207,26 @@ def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = S
             def flush(parts):
                 s, pad, at, need, where = [], [], [], [], []
                 base = 0
-                for i, w, starts in parts:
+                for i, w, first, starts in parts:
                     h = shingle_hashes(hasher(w), shingle)
                     empty = max(0, u - len(h))
                     s += [h, np.zeros(empty, "uint64")]
                     pad += [np.zeros(len(h), bool), np.ones(empty, bool)]
                     at.append(np.asarray(starts) + base)
                     need.append(np.full(len(starts), of_size[min(len(h), u)]))
-                    where += [(i, w, k) for k in starts]
+                    where += [(i, w, first, k) for k in starts]
                     base += len(h) + empty
                 sig = window_minima(np.concatenate(s), u, n, np.concatenate(pad))[:, np.concatenate(at)]
                 hit = np.zeros(sig.shape, bool)
                 used = np.arange(n)[:, None] < np.concatenate(need)[None]
                 hit[used] = _hit(known, sig[used])
                 some = np.flatnonzero(hit.sum(axis=0) >= AGREE)
-                rows = [(where[k][0], where[k][1][where[k][2] : where[k][2] + window], sig[hit[:, k], k].view("int64").tolist()) for k in some]
-                return pd.DataFrame(rows, columns=["doc_id", "words", "sigs"])
+                rows = []
+                for k in some:
+                    i, w, first, at = where[k]
+                    ends = range(at, min(at + window, len(w)) - run + 1)
+                    rows.append((i, first + at, [f" {' '.join(w[j : j + run])} " for j in ends], sig[hit[:, k], k].view("int64").tolist()))
+                return pd.DataFrame(rows, columns=["doc_id", "at", "passages", "sigs"])
 
             for i, t in zip(b.doc_id, b.text, strict=True):
                 w = words(t)
@@ -225,7 +236,7 @@ def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = S
                 per = PART_WORDS // (window - run + 1)
                 for k in range(0, len(starts), per):
                     mine = starts[k : k + per]
-                    parts.append((i, w[mine[0] : mine[-1] + window], [x - mine[0] for x in mine]))
+                    parts.append((i, w[mine[0] : mine[-1] + window], mine[0], [x - mine[0] for x in mine]))
                     size += mine[-1] + window - mine[0]
                     if size >= PART_WORDS:
                         yield flush(parts)
@@ -233,7 +244,7 @@ def candidate_windows(docs: DataFrame, filter_, run: int = RUN, shingle: int = S
             if parts:
                 yield flush(parts)
 
-    return docs.mapInPandas(search, f"doc_id {kind}, words array<string>, sigs array<long>")
+    return docs.mapInPandas(search, f"doc_id {kind}, at long, passages array<string>, sigs array<long>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
@@ -245,8 +256,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     index = cut(item_index(it, run, shingle, window))
     keys = index.count()
     sent = docs.sparkSession.sparkContext.broadcast(make_filter(index, keys))
-    found = candidate_windows(d, sent, run, shingle, window)
-    pairs = found.select("doc_id", "words", F.explode("sigs").alias("sig")).join(maybe_broadcast(index, INDEX_ROWS), "sig").groupBy("doc_id", "words", "item_id").agg(F.count("*").alias("n")).filter(F.col("n") >= AGREE)
+    found = cut(candidate_windows(d, sent, run, shingle, window))  # few of the corpus's windows, used twice
+    pairs = found.select("doc_id", "at", F.explode("sigs").alias("sig")).join(maybe_broadcast(index, INDEX_ROWS), "sig").groupBy(F.col("doc_id").alias("d_"), F.col("at").alias("a_"), "item_id").agg(F.count("*").alias("n")).filter(F.col("n") >= AGREE)
     kind = items.schema[item_id].dataType.simpleString()
 
     def spell(batches):
@@ -254,6 +265,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             yield pd.DataFrame({"i_": b.item_id, "whole": [f" {' '.join(words(t))} " for t in b.text]})
 
     whole = it.distinct().mapInPandas(spell, f"i_ {kind}, whole string")
-    passage = lambda k: F.concat(F.lit(" "), F.array_join(F.slice("words", k, F.lit(run)), " "), F.lit(" "))
-    holds = F.exists(F.sequence(F.lit(1), F.size("words") - run + 1), lambda k: F.contains(F.col("whole"), passage(k)))
-    return pairs.join(maybe_broadcast(whole), F.col("item_id").eqNullSafe(F.col("i_"))).filter(holds).select("doc_id", "item_id").distinct()
+    x = pairs.join(found.select("doc_id", "at", "passages"), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("at") == F.col("a_")))
+    x = x.join(maybe_broadcast(whole), F.col("item_id").eqNullSafe(F.col("i_")))
+    return x.filter(F.exists("passages", lambda p: F.contains(F.col("whole"), p))).select("doc_id", "item_id").distinct()
