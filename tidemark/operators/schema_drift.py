@@ -35,12 +35,13 @@ LINE = [*FILE, "received_at", "line_no", "raw_line"]
 
 
 def _split(line: Column, by: Column) -> Column:
-    """Fields between delimiters that stand outside double quotes; each character is looked at once."""
+    """Fields between delimiters that stand outside double quotes, quotes and blanks included; each character is looked
+    at once."""
     out = F.array(line)
     for d in DELIMITERS:
-        e = "\\t" if d == "\t" else d
-        quoted = F.regexp_extract_all(F.concat(line, F.lit(d)), F.lit(f'((?:[^{e}"]++|"[^"]*+"|")*+)[{e}]'), F.lit(1))
-        out = F.when(by == d, F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, f"[{e}]", -1))).otherwise(out)
+        quoted = F.regexp_extract_all(F.concat(line, F.lit(d)), F.lit(f'((?:[^{d}"]++|"[^"]*+"|")*+)[{d}]'), F.lit(1))
+        plain = F.split(line, "\\|" if d == "|" else d, -1)  # one plain character: split without a pattern
+        out = F.when(by == d, F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)).otherwise(out)
     return out
 
 
@@ -84,7 +85,7 @@ def schemas(lines: DataFrame) -> DataFrame:
 
 def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """(index_symbol, on_day, file_no, r): of each file and day the first line, its cells in one row: r holds names, new,
-    gone, next_pairs and the values v by position."""
+    gone, next_pairs and the values v by position, as written."""
     cols = ["header_no", "header", "delimiter", "names", "new", "gone", "next_pairs"]
     x = lines.select(*LINE).filter("raw_line is not null and file_no is not null and trim(raw_line) != '' and not startswith(ltrim(raw_line), '#')")
     h = heads.select(F.col("index_symbol").alias("_i"), F.col("file_no").alias("_f"), "pieces", *cols)
@@ -95,28 +96,30 @@ def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
         h = h.withColumn("_p", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")))
         x = x.join(h, on & (F.floor(F.col("line_no") / PIECE) == F.col("_p")))
     x = x.filter("line_no > header_no and raw_line != header")
-    x = x.withColumn("v", F.transform(_split(F.regexp_replace("raw_line", "[\r\n]+$", ""), F.col("delimiter")), _unquoted))
+    x = x.withColumn("v", _split(F.rtrim(F.col("raw_line"), F.lit("\r\n")), F.col("delimiter")))
     day_at = F.array_position("names", F.lit("date"))
-    x = x.withColumn("on_day", F.when(day_at > 0, F.get("v", (day_at - 1).cast("int")))).filter("on_day is not null and on_day != ''")
+    x = x.withColumn("on_day", F.when(day_at > 0, _unquoted(F.get("v", (day_at - 1).cast("int"))))).filter("on_day is not null and on_day != ''")
     keep = F.struct("line_no", "names", "new", "gone", "next_pairs", "v")
     return x.groupBy("index_symbol", "on_day", "file_no").agg(F.min(keep).alias("r"))
 
 
-def _value(names: Column, v: Column, name: Column) -> Column:
-    """The value of a name (its first column); null if it is missing."""
-    x = F.get(v, (F.array_position(names, name) - 1).cast("int"))
+def _present(written: Column) -> Column:
+    """A value; null if it is missing."""
+    x = _unquoted(written)
     return F.when(~x.isin(*MISSING), x)
 
 
 def exploded(rows: DataFrame) -> DataFrame:
     """(index_symbol, on_day, file_no, name, value): a row per file, day and field; value null: missing."""
-    x = rows.select("index_symbol", "on_day", "file_no", F.explode(F.array_distinct("r.names")).alias("name"), "r").filter("name not in ('date', '')")
-    return x.select("index_symbol", "on_day", "file_no", "name", _value(F.col("r.names"), F.col("r.v"), F.col("name")).alias("value"))
+    x = rows.select("index_symbol", "on_day", "file_no", "r", F.posexplode("r.names").alias("pos", "name"))
+    # a name that the header repeats counts where it comes first
+    x = x.filter((F.col("name") != "date") & (F.col("name") != "") & (F.array_position("r.names", F.col("name")) == F.col("pos") + 1))
+    return x.select("index_symbol", "on_day", "file_no", "name", _present(F.get("r.v", F.col("pos"))).alias("value"))
 
 
 def kind_of(v: Column) -> Column:
     """The alternative of the union that a written value belongs to; null: missing."""
-    return F.when(v.rlike("^-?[0-9]+$"), "integer").when(v.rlike("^-?[0-9]+[.]?[0-9]*$"), "decimal").when(v.isNotNull(), "text")
+    return F.when(v.rlike("^-?[0-9]+[.]?[0-9]*$"), F.when(F.contains(v, F.lit(".")), "decimal").otherwise("integer")).when(v.isNotNull(), "text")
 
 
 def amount_of(v: Column) -> Column:
@@ -142,26 +145,26 @@ def fused(rows: DataFrame) -> DataFrame:
     """(index_symbol, file_no, kinds, pairs): one row a file.
 
     kinds: of each field the tagged union as (name, alternatives, kind); pairs: new and gone names that hold the same
-    amounts on the days of both files, as (n, old, name) with the number of days. One partial aggregation for both.
+    amounts on the days of both files, as (n, old, name) with the number of days. Only rows of files with new and gone
+    names take part in these.
     """
+    kind = kind_of(F.col("value"))
+    has = [F.max(F.coalesce(kind == n, F.lit(False))).alias(n) for n in KINDS]
+    u = exploded(rows).groupBy(*FILE, "name").agg(*has)
+    union = F.struct("name", F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in KINDS])).alias("alternatives"), F.when(F.col("text"), "text").when(F.col("decimal"), "decimal").when(F.col("integer"), "integer").alias("kind"))
     prev = rows.filter("r.next_pairs").select(F.col("index_symbol").alias("_i"), F.col("on_day").alias("_d"), (F.col("file_no") + 1).alias("_f"), F.col("r.names").alias("was_names"), F.col("r.v").alias("was_v"))
-    x = rows.join(prev, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("on_day") == F.col("_d")) & (F.col("file_no") == F.col("_f")), "left")
-    names, v = F.col("r.names"), F.col("r.v")
-    none = F.lit(None).cast("string")
-    own = F.transform(F.filter(F.array_distinct(names), lambda n: ~n.isin("", "date")), lambda n: F.struct(n.alias("name"), none.alias("old"), _value(names, v, n).alias("a"), none.alias("b")))
-    pair = lambda n, o: F.struct(n.alias("name"), o.alias("old"), _value(names, v, n).alias("a"), _value(F.col("was_names"), F.col("was_v"), o).alias("b"))
-    paired = F.flatten(F.transform("r.new", lambda n: F.transform("r.gone", lambda o: pair(n, o))))
-    x = x.select(*FILE, F.explode(F.when(F.col("_f").isNotNull() & (F.size("r.new") > 0) & (F.size("r.gone") > 0), F.concat(own, paired)).otherwise(own)).alias("c")).select(*FILE, "c.*")
-    x = x.withColumns({"one": F.col("old").isNull(), "x": F.when(F.col("old").isNotNull(), amount_of(F.col("a"))), "y": F.when(F.col("old").isNotNull(), amount_of(F.col("b")))})
+    x = rows.filter((F.size("r.new") > 0) & (F.size("r.gone") > 0)).join(prev, F.col("index_symbol").eqNullSafe(F.col("_i")) & (F.col("on_day") == F.col("_d")) & (F.col("file_no") == F.col("_f")))
+    x = x.select(*FILE, "r", "was_names", "was_v", F.explode("r.new").alias("name")).withColumn("old", F.explode("r.gone"))
+    at = lambda names, v, n: _present(F.get(v, (F.array_position(names, F.col(n)) - 1).cast("int")))
+    x = x.select(*FILE, "name", "old", at(F.col("r.names"), F.col("r.v"), "name").alias("a"), at(F.col("was_names"), F.col("was_v"), "old").alias("b"))
+    x = x.withColumns({"x": amount_of(F.col("a")), "y": amount_of(F.col("b"))})
     near = F.abs(F.col("x.amount") - F.col("y.amount")) <= F.col("x.slack") + F.col("y.slack") + 1e-9 * F.abs(F.col("x.amount"))
     equal = F.when(F.col("a").isNull() | F.col("b").isNull(), F.col("a").isNull() & F.col("b").isNull()).when(F.col("x").isNull() | F.col("y").isNull(), F.col("a") == F.col("b")).otherwise(near)
-    kind = F.when(F.col("one"), kind_of(F.col("a")))
-    has = [F.max(F.coalesce(kind == n, F.lit(False))).alias(n) for n in KINDS]
-    g = x.groupBy(*FILE, "name", "old").agg(*has, F.min(F.when(~F.col("one"), equal)).alias("all"), F.sum((~F.col("one") & equal & F.col("a").isNotNull()).cast("int")).alias("n"))
-    union = F.struct("name", F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in KINDS])).alias("alternatives"), F.when(F.col("text"), "text").when(F.col("decimal"), "decimal").when(F.col("integer"), "integer").alias("kind"))
-    same = F.when(F.col("all") & (F.col("n") > 0), F.struct("n", "old", "name"))
+    g = x.groupBy(*FILE, "name", "old").agg(F.min(equal).alias("all"), F.sum((equal & F.col("a").isNotNull()).cast("int")).alias("n")).filter("all and n > 0")
+    same = F.struct(F.col("n").cast("int").alias("n"), "old", "name")
+    both = u.select(*FILE, union.alias("u"), F.lit(None).cast("struct<n:int,old:string,name:string>").alias("p")).unionByName(g.select(*FILE, F.lit(None).cast("struct<name:string,alternatives:array<string>,kind:string>").alias("u"), same.alias("p")))
     # per file: bounded by its header
-    return g.groupBy(*FILE).agg(F.collect_list(F.when(F.col("old").isNull(), union)).alias("kinds"), F.collect_list(same).alias("pairs"))
+    return both.groupBy(*FILE).agg(F.collect_list("u").alias("kinds"), F.collect_list("p").alias("pairs"))
 
 
 def _best(pairs: Column, tie: str) -> Column:
