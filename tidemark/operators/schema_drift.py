@@ -96,7 +96,8 @@ def cells(lines: DataFrame, heads: DataFrame) -> DataFrame:
         h = h.withColumn("_p", F.explode(F.sequence(F.floor(F.col("header_no") / PIECE), "pieces")))
         x = x.join(h, on & (F.floor(F.col("line_no") / PIECE) == F.col("_p")))
     x = x.filter("line_no > header_no and raw_line != header")
-    x = x.withColumn("v", _split(F.rtrim(F.col("raw_line"), F.lit("\r\n")), F.col("delimiter")))
+    # the generator is a barrier: what uses the values would otherwise repeat the split
+    x = x.withColumn("v", F.explode(F.array(_split(F.rtrim(F.col("raw_line"), F.lit("\r\n")), F.col("delimiter")))))
     day_at = F.array_position("names", F.lit("date"))
     x = x.withColumn("on_day", F.when(day_at > 0, _unquoted(F.get("v", (day_at - 1).cast("int"))))).filter("on_day is not null and on_day != ''")
     keep = F.struct("line_no", "names", "new", "gone", "next_pairs", "v")
