@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import chi2_sf, t_two_sided
+from tidemark.ml.boosting import bounded
+from tidemark.ml.independence import SAMPLE_ROWS, SHUFFLES, TESTS
 
 
 def _ssr(y: np.ndarray, x: np.ndarray) -> float:
@@ -82,13 +84,19 @@ def _partial(cov: np.ndarray, i: int, j: int, z: list[int], n: int) -> tuple[flo
     return r, t_two_sided(r * math.sqrt(max(dof, 0) / (1 - r * r)), dof)
 
 
-def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, test: str = "ParCorr", max_conditions: int | None = None, targets: Sequence[str] | None = None) -> list[tuple[str, str, int, float, float]]:
+def pcmci(df: DataFrame, columns: Sequence[str], tau_min: int = 1, tau_max: int = 3, pc_alpha: float = 0.10, test: str = "ParCorr", max_conditions: int | None = None, targets: Sequence[str] | None = None, sample_rows: int = SAMPLE_ROWS, shuffles: int = SHUFFLES) -> list[tuple[str, str, int, float, float]]:
     """(source, target, lag, p-value, partial correlation) of every lagged pair, or of those into `targets`.
 
     Parents of each variable are found by conditioning on the strongest others, on one more at a time until there are no
-    more (or max_conditions); each link is then tested given the parents of both ends. Both stages need only the
-    covariance of the lagged columns.
+    more (or max_conditions); each link is then tested given the parents of both ends. With partial correlation (ParCorr)
+    both stages need only the covariance of the lagged columns. GPDC and CMIknn (ml.independence) compare all pairs of
+    rows, so they work on a hashed sample of about sample_rows lag-stacked rows.
     """
+    if test in TESTS:
+        m, names = lagged_sample(df, columns, 2 * tau_max, sample_rows)
+        cov = np.cov(m, rowvar=False) if len(m) > 1 else np.zeros((len(names), len(names)))
+        tests = _Rows(m, TESTS[test], shuffles)
+        return _links(len(m), cov, names, columns, columns if targets is None else targets, tau_min, tau_max, pc_alpha, max_conditions, tests)
     if test != "ParCorr":
         raise ValueError(f"unsupported test {test}")
     n, cov, names = lagged_moments(df, columns, 2 * tau_max)
@@ -136,6 +144,43 @@ def _p_value(r: float, n: int, conditions: int) -> float:
     return t_two_sided(r * math.sqrt(max(dof, 0) / (1 - r * r)), dof)
 
 
+class _Rows:
+    """A test of rows in the place of the covariance: strengths are its statistic."""
+
+    def __init__(self, m: np.ndarray, test, shuffles: int):
+        self.m, self.test, self.shuffles = m, test, shuffles
+
+    def __call__(self, i: int, j: int, z: np.ndarray) -> tuple[float, float]:
+        return self.test(self.m[:, i], self.m[:, j], self.m[:, z], shuffles=self.shuffles)
+
+
+def lagged_sample(df: DataFrame, columns: Sequence[str], lags: int, rows: int) -> tuple[np.ndarray, list[tuple[str, int]]]:
+    """(rows, (column, lag) of its columns): about `rows` complete lag-stacked rows, chosen by hash."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    names = [(c, k) for k in range(lags + 1) for c in columns]
+    x = df.select("symbol", "date", *[F.lag(F.col(c).cast("double"), k).over(w).alias(f"{c}__{k}") for c, k in names]).dropna()
+    got = bounded(x, ("symbol", "date"), rows).drop("symbol", "date").collect()  # bounded by `rows`
+    return np.array([list(r) for r in got], float).reshape(-1, len(names)), names
+
+
+def _parents_by_rows(test: _Rows, at, t, columns, tau_min, tau_max, pc_alpha, most) -> list[tuple[str, int]]:
+    cand, j, d = [(c, k) for k in range(tau_min, tau_max + 1) for c in columns], at[t, 0], 0
+    strength = dict.fromkeys(cand, math.inf)
+    while most is None or d <= most:
+        cand.sort(key=lambda q: (-strength[q], q))
+        keep = []
+        for q in cand:
+            v, p = test(at[q], j, np.array([at[o] for o in cand if o != q][:d], int))
+            strength[q] = min(strength[q], v)
+            if p <= pc_alpha:
+                keep.append(q)
+        cand = keep
+        if len(cand) <= d:
+            break
+        d += 1
+    return cand
+
+
 def _parents(n, cov, at, t, columns, tau_min, tau_max, pc_alpha, most) -> list[tuple[str, int]]:
     """The lagged columns that stay dependent on t given ever more of the strongest others, until there are no more."""
     cand = [(c, k) for k in range(tau_min, tau_max + 1) for c in columns]
@@ -163,17 +208,24 @@ def _parents(n, cov, at, t, columns, tau_min, tau_max, pc_alpha, most) -> list[t
     return cand
 
 
-def _links(n, cov, names, columns, targets, tau_min, tau_max, pc_alpha, max_conditions) -> list[tuple[str, str, int, float, float]]:
+def _links(n, cov, names, columns, targets, tau_min, tau_max, pc_alpha, max_conditions, test: _Rows | None = None) -> list[tuple[str, str, int, float, float]]:
     at = {k: i for i, k in enumerate(names)}
-    parents = {t: _parents(n, cov, at, t, columns, tau_min, tau_max, pc_alpha, max_conditions) for t in columns}
+    if test is None:
+        parents = {t: _parents(n, cov, at, t, columns, tau_min, tau_max, pc_alpha, max_conditions) for t in columns}
+    else:
+        parents = {t: _parents_by_rows(test, at, t, columns, tau_min, tau_max, pc_alpha, max_conditions) for t in columns}
     out = []
     for t in targets:
         for c in columns:
             for k in range(tau_min, tau_max + 1):
                 z = [at[o] for o in parents[t] if o != (c, k)] + [at[o, j + k] for o, j in parents[c] if j + k <= 2 * tau_max]
                 z = np.array(list(dict.fromkeys(i for i in z if i not in (at[c, k], at[t, 0]))), int)
-                r = float(_given(cov, at[t, 0], np.array([at[c, k]]), z)[0])
-                out.append((c, t, k, _p_value(r, n, len(z)), r))
+                if test is None:
+                    r = float(_given(cov, at[t, 0], np.array([at[c, k]]), z)[0])
+                    out.append((c, t, k, _p_value(r, n, len(z)), r))
+                else:
+                    v, p = test(at[c, k], at[t, 0], z)
+                    out.append((c, t, k, p, v))
     return out
 
 

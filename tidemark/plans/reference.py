@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon, scalars
 from tidemark.functions import windows as w
-from tidemark.ml import causal, evaluate, models
+from tidemark.ml import causal, evaluate, models, sequence
 from tidemark.operators import cleaning, features, panel, quality
 from tidemark.plans import index, pipeline
 from tidemark.runtime import cut
@@ -682,6 +682,21 @@ def ml_detect_regime(spark, d):
     return x.select(F.date_format("date", "yyyy-MM-dd").alias("date"), models.detect_regime().alias("regime"))
 
 
+@query()
+def ml_lstm(spark, d):
+    x = models.chronological_split(_full(spark, d), ["log_return_5d"])
+    scaler = models.fit_scaler(x.filter("part = 'train'"), features.ALL)
+    q = cut(w.sequences(models.apply_scaler(x, scaler), features.ALL, 20))
+    m = sequence.fit_sequences(q.filter("part != 'test'").withColumn("v", F.col("part") == "validation"), len(features.ALL), "log_return_5d", "v")
+    return sequence.score(q, m)
+
+
+@query()
+def ml_drivers(spark, d):
+    x = _full(spark, d)
+    return models.Ensemble(features.ALL, "log_return_5d").fit(x).drivers(x)
+
+
 @query()
 def ml_ensemble(spark, d):
     x = _full(spark, d)
