@@ -22,7 +22,7 @@ def test_same_as_sql(spark, name):
     assert compare(spark, DIR, QUERIES[name], SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", [n for n in CORE if n not in SQL and not n.startswith("p")])
+@pytest.mark.parametrize("name", [n for n in CORE if n not in SQL])
 def test_gives_rows(spark, name):
     df = QUERIES[name](spark, DIR)
     assert df.columns and df.count() > 0
