@@ -105,8 +105,12 @@ def rank_in_group(blocks: DataFrame, key: str, schema: str) -> DataFrame:
 
 
 def exact_medians(df: DataFrame, key: str, value: str, rows: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(key, median) of non-null values, exact also where one key holds most rows."""
-    b = ordered_blocks(df.select(F.col(key).alias("key"), F.col(value).alias("value")), ["key", "value"], rows, rows_per_block)
+    """(key, median) of non-null values, exact also where one key holds most rows: values of no more than one block are
+    aggregated, more are ranked over blocks."""
+    x = cut(df.select(F.col(key).alias("key"), F.col(value).alias("value")))
+    if x.count() <= rows_per_block:
+        return x.groupBy(F.col("key").alias(key)).agg(F.median("value").alias("median"))
+    b = ordered_blocks(x, ["key", "value"], rows, rows_per_block)
     r = rank_in_group(b, "key", "key string, value double")
     mid = r.filter((F.col("rank") == F.floor((F.col("total") - 1) / 2)) | (F.col("rank") == F.floor(F.col("total") / 2)))
     return mid.groupBy(F.col("key").alias(key)).agg(F.avg("value").alias("median"))
