@@ -53,14 +53,19 @@ def compile_formats(formats: tuple[str, ...] = FORMATS) -> tuple[str, str]:
     return pattern, _SEP.join("".join(f"${{{p}{i}}}" for i in has[p]) for p in PARTS) + _SEP
 
 
-def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, in whole numbers: March-based years of 400-year eras."""
-    yy = F.when(m <= 2, y - 1).otherwise(y)
-    era = F.floor(yy / 400)
-    yoe = yy - era * 400
-    doy = F.floor((153 * F.pmod(m + 9, F.lit(12)) + 2) / 5) + d - 1
-    doe = yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy
-    return (era * 146_097 + doe - 719_468).cast("long")
+def new_stage(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions, but a further stage of generated code: one method for a long chain of
+    expressions is too large to be compiled to machine code. (A merge of partitions to more than there are does nothing.)"""
+    return df.coalesce(1 << 20)
+
+
+def with_days(df: DataFrame, y: str, m: str, d: str, out: str) -> DataFrame:
+    """Adds the days since 1970-01-01 of proleptic Gregorian dates from year 1 on, in whole numbers: March-based years of
+    400-year eras. In steps, so that what is used again is a column and the generated code stays small."""
+    x = df.withColumns({"__y2": F.col(y) - F.when(F.col(m) <= 2, 1).otherwise(0), "__doy": F.expr(f"(153 * pmod(`{m}` + 9, 12) + 2) div 5 + `{d}` - 1")})
+    x = x.withColumn("__era", F.expr("__y2 div 400"))
+    x = x.withColumn("__yoe", F.col("__y2") - F.col("__era") * 400)
+    return x.withColumn(out, F.expr("__era * 146097 + __yoe * 365 + __yoe div 4 - __yoe div 100 + __doy - 719468")).drop("__y2", "__doy", "__era", "__yoe")
 
 
 def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None, out: str = "utc_us", zone_names: DataFrame | None = None) -> DataFrame:
@@ -69,11 +74,13 @@ def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None
     zone_names: a smaller table with the same column of zones (else they are looked up in df).
     """
     pattern, replacement = compile_formats()
-    x = df.withColumn("__m", F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), _SEP))
+    # the generator is a barrier: each use of a component would otherwise run the expression again
+    x = df.withColumn("__m", F.explode(F.array(F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), _SEP))))
     n = len(PARTS)
     at = lambda p: F.when(F.size("__m") == n + 1, F.nullif(F.element_at("__m", PARTS.index(p) + 1), F.lit("")))
     num = lambda p: at(p).try_cast("int")
     x = x.withColumns({f"__{p}": at(p) for p in ("mon", "f", "ap", "off", "z", "e", "y")} | {f"__{p}": num(p) for p in ("mo", "d", "a", "b", "h", "mi", "s")})
+    x = new_stage(x)
     mdy, dmy = (F.lower(F.trim(F.col(order))) == o if order else F.lit(None).cast("boolean") for o in ("mdy", "dmy"))
     name = F.lower(F.substring("__mon", 1, 3))
     named = F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int")
@@ -84,16 +91,16 @@ def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None
     yy, mm, dd = F.col("__yy"), F.col("__mm"), F.col("__dd")
     leap = ((yy % 4 == 0) & (yy % 100 != 0)) | (yy % 400 == 0)
     last = F.when(mm == 2, F.when(leap, 29).otherwise(28)).when(mm.isin(4, 6, 9, 11), 30).otherwise(31)
-    h0, ap = F.coalesce("__h", F.lit(0)), F.lower("__ap")
-    h = F.when(ap.isNull(), h0).when(h0.between(1, 12), h0 % 12 + F.when(ap == "p", 12).otherwise(0))
-    mi, s = F.coalesce("__mi", F.lit(0)), F.coalesce("__s", F.lit(0))
+    h0 = F.coalesce("__h", F.lit(0))
+    h = F.when(F.col("__ap").isNull(), h0).when(h0.between(1, 12), h0 % 12 + F.when(F.lower("__ap") == "p", 12).otherwise(0))
+    x = x.withColumns({"__last": last, "__hh": h, "__mi": F.coalesce("__mi", F.lit(0)), "__s": F.coalesce("__s", F.lit(0)), "__off": F.regexp_replace("__off", ":", "")})
     micro = F.coalesce(F.rpad(F.substring("__f", 1, 6), 6, "0").try_cast("int"), F.lit(0))
-    valid = yy.between(1, 9999) & mm.between(1, 12) & dd.between(1, last) & h.between(0, 23) & (mi <= 59) & (s <= 59)
-    local = F.when(valid, days_from_civil(yy, mm, dd) * DAY_US + ((h * 60 + mi) * 60 + s).cast("long") * 1_000_000 + micro)
-    off = F.regexp_replace("__off", ":", "")
-    off_h, off_m = F.substring(off, 2, 2).try_cast("int"), F.coalesce(F.nullif(F.substring(off, 4, 2), F.lit("")).try_cast("int"), F.lit(0))
-    offset = F.when((off_h <= 18) & (off_m <= 59), F.when(off.startswith("-"), -1).otherwise(1) * (off_h * 60 + off_m).cast("long") * 60_000_000)
-    x = x.withColumns({"__local": local, "__offset": offset})
+    valid = yy.between(1, 9999) & mm.between(1, 12) & dd.between(1, F.col("__last")) & F.col("__hh").between(0, 23) & (F.col("__mi") <= 59) & (F.col("__s") <= 59)
+    clock = ((F.col("__hh") * 60 + F.col("__mi")) * 60 + F.col("__s")).cast("long") * 1_000_000
+    x = with_days(x.withColumns({"__clock": F.when(valid, clock + micro), "__off_h": F.substring("__off", 2, 2).try_cast("int"), "__off_m": F.coalesce(F.nullif(F.substring("__off", 4, 2), F.lit("")).try_cast("int"), F.lit(0))}), "__yy", "__mm", "__dd", "__days")
+    minutes = F.when((F.col("__off_h") <= 18) & (F.col("__off_m") <= 59), F.col("__off_h") * 60 + F.col("__off_m"))
+    x = x.withColumns({"__local": F.col("__days") * DAY_US + F.col("__clock"), "__offset": minutes.cast("long") * F.when(F.startswith("__off", F.lit("-")), -60_000_000).otherwise(60_000_000)})
+    x = new_stage(x)
     utc_name = F.upper(F.coalesce("__z", F.lit(""))).isin("Z", "UTC", "GMT")
     known = F.col("__local").isNotNull() & ~utc_name
     if zone:
@@ -102,9 +109,10 @@ def parse_instants(df: DataFrame, text: str, zone: str | None, order: str | None
         year = F.when(known, F.least(F.greatest("__yy", F.lit(zones.FIRST_YEAR)), F.lit(zones.LAST_YEAR)))
         x = x.withColumn("__year", year).join(F.broadcast(rules.withColumnsRenamed({"zone": "__rule_zone", "year": "__rule_year"})), (F.col(zone) == F.col("__rule_zone")) & (F.col("__year") == F.col("__rule_year")), "left")
         own = F.when(F.col("off0").isNotNull(), zones.earliest_instant(F.col("__local"), slots, F.col("__h").isNull()))  # a date is the start of its day
-        late = zones.latest_instant(F.col("__local"), slots)
+        x = x.withColumns({"__own": own, "__late": zones.latest_instant(F.col("__local"), slots)})
     else:
-        own = late = F.lit(None).cast("long")
+        x = x.withColumns(dict.fromkeys(("__own", "__late"), F.lit(None).cast("long")))
+    own, late = F.col("__own"), F.col("__late")
     given = F.col("__local") - F.col("__offset")
     # an hour without minutes is how the zone database abbreviates many zones: the zone's own then, if it agrees
     given = F.when((F.length("__off") == 3) & (given == late), F.coalesce(own, given)).otherwise(given)
