@@ -258,8 +258,19 @@ def agg_min_by(spark, d):
 
 @query("select l_returnflag, min(l_extendedprice) filter (l_linestatus = 'F') as f, min(l_extendedprice) filter (l_linestatus = 'O') as o from lineitem group by 1")
 def agg_pivot_min(spark, d):
-    x = table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.min("l_extendedprice"))
-    return x.withColumnsRenamed({"F": "f", "O": "o"})
+    x = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.min("l_extendedprice").alias("p"))  # a row per flag, status and line
+    links = [(r.l_returnflag, r.l_linestatus, r.l_linenumber, r.p, 0.0) for r in x.collect()]
+    return causal.graph_matrix(x, links).withColumnsRenamed({"src": "l_returnflag", "F": "f", "O": "o"})
+
+
+_LINKS = "with l as (select event_type, extract(hour from ts)::int as lag, min(value) as p, count(*)::double as v from events where event_type is not null group by 1, 2)"
+
+
+@query(f"{_LINKS} select event_type as feature, min(p) < 0.1 as causal, {s6('min(p)', 'pval')}, arg_min(v, struct_pack(p := p, l := lag)) as val, arg_min(lag, struct_pack(p := p, l := lag)) as best_lag from l group by 1")
+def agg_links(spark, d):
+    x = table(spark, d, "events").filter("event_type is not null").groupBy("event_type", F.hour("ts").alias("lag")).agg(F.min("value").alias("p"), F.count("*").cast("double").alias("v"))
+    links = [(r.event_type, "all", r.lag, r.p, r.v) for r in x.collect()]  # a row per type and hour
+    return causal.links_into(x, links, "all", alpha=0.1).withColumn("pval", r6("pval"))
 
 
 @query(f"with {BARS} select symbol, {DAY}, {s6('least(greatest((close - avg(close) over (partition by symbol)) / (stddev_samp(close) over (partition by symbol) + 1e-8), -3), 3) / 3', 'z')} from bars")
